@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.features import derive_event_features
-from ..operators.incidents import INDEPENDENT, build_incidents
+from ..operators.incidents import INDEPENDENT, ISLAND, assign_incidents, build_incidents, incident_id
 from ..operators.labels import apply_weak_labels
 from ..session import materialize
 from ..sources.tables import audit_events
@@ -45,3 +46,11 @@ def incidents(
 
 def labeled(spark: SparkSession, folder: str) -> DataFrame:
     return apply_weak_labels(incidents(spark, folder))
+
+
+def incident_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event with the id of its incident and its place in it."""
+    def build() -> DataFrame:
+        assigned = assign_incidents(events_flat(spark, folder), CASE_GAP_MINUTES, INDEPENDENT)
+        return assigned.withColumn("incident_id", incident_id(F.col(ISLAND)))
+    return _stage(spark, folder, "incident-members", build)
