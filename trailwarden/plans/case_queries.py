@@ -131,9 +131,9 @@ def entries_with_domain(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.with_domain(entries, domains).select("entry_id", "title", "domain")
 
 
-@query("SELECT p_name AS title FROM part WHERE p_name ILIKE '%1%' ORDER BY p_name LIMIT 1")
+@query("SELECT p_name AS title FROM part WHERE p_name ILIKE '%RING%' ORDER BY p_name LIMIT 1")
 def technique_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.technique_by_name(read_table(spark, folder, "part").select(F.col("p_name").alias("title")), "1")
+    return retrieval.technique_by_name(read_table(spark, folder, "part").select(F.col("p_name").alias("title")), "RING")
 
 
 @query("SELECT n_name AS name FROM nation ORDER BY n_name")
@@ -449,11 +449,11 @@ def replaced_by_incident(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""SELECT doc_id, source, external_ref FROM (SELECT doc_id, source, CASE WHEN n_chars % 3 <> 0 THEN 'T' || n_chars END AS external_ref FROM documents)
-WHERE NOT (source = 'web' AND external_ref IS NULL) OR source IS NULL""")
+WHERE NOT (source = 'src3' AND external_ref IS NULL) OR source IS NULL""")
 def purged_knowledge_rows(spark: SparkSession, folder: str) -> DataFrame:
     entries = read_table(spark, folder, "documents").select(
         "doc_id", "source", F.when(F.col("n_chars") % 3 != 0, F.concat(F.lit("T"), F.col("n_chars").cast("string"))).alias("external_ref"))
-    return knowledge.purge_unreferenced(entries, "web")
+    return knowledge.purge_unreferenced(entries, "src3")
 
 
 # --- context ------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ incident build, labeled incidents feed everything after it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,31 +18,35 @@ from ..operators.labels import apply_weak_labels
 from ..session import materialize
 from ..sources.tables import audit_events
 
-_written: dict[tuple[str, str, str], DataFrame] = {}
+_written: dict[tuple[str, str, str], Any] = {}
 
 CASE_GAP_MINUTES = 12 * 60
 
 
-def _stage(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def remember(spark: SparkSession, folder: str, name: str, build: Callable[[], Any]) -> Any:
     key = (spark.sparkContext.applicationId, folder, name)
     if key not in _written:
-        _written[key] = materialize(build(), name)
+        _written[key] = build()
     return _written[key]
 
 
+def stage(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    return remember(spark, folder, name, lambda: materialize(build(), name))
+
+
 def forget_stages() -> None:
     _written.clear()
 
 
 def events_flat(spark: SparkSession, folder: str) -> DataFrame:
-    return _stage(spark, folder, "events-flat", lambda: derive_event_features(audit_events(spark, folder)))
+    return stage(spark, folder, "events-flat", lambda: derive_event_features(audit_events(spark, folder)))
 
 
 def incidents(
     spark: SparkSession, folder: str, gap_minutes: int = CASE_GAP_MINUTES, mode: str = INDEPENDENT
 ) -> DataFrame:
     name = f"incidents-{mode}-{gap_minutes}"
-    return _stage(spark, folder, name, lambda: build_incidents(events_flat(spark, folder), gap_minutes, mode=mode))
+    return stage(spark, folder, name, lambda: build_incidents(events_flat(spark, folder), gap_minutes, mode=mode))
 
 
 def labeled(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,4 +58,4 @@ def incident_members(spark: SparkSession, folder: str) -> DataFrame:
     def build() -> DataFrame:
         assigned = assign_incidents(events_flat(spark, folder), CASE_GAP_MINUTES, INDEPENDENT)
         return assigned.withColumn("incident_id", incident_id(F.col(ISLAND)))
-    return _stage(spark, folder, "incident-members", build)
+    return stage(spark, folder, "incident-members", build)
