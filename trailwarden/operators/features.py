@@ -104,18 +104,22 @@ def sequence_features(indexed: DataFrame) -> DataFrame:
     )))
     placed = o.positions(long, [F.col("grouping"), F.col("key"), F.col(INDEX)], "key-ranks")
     ends = placed.groupBy(o.PART).agg(
-        F.count("*").alias("_n"), F.max_by(F.struct("grouping", "key", "step"), o.ROW).alias("_last")
-    ).select(o.PART, o.earlier_sum("_n").alias("_before"), o.from_previous_part("_last").alias("_carried"))
-    previous = F.coalesce(F.lag(F.struct("grouping", "key", "step")).over(o.in_part()), F.col("_carried"))
-    scan = o.with_part_state(placed, ends).withColumn("_prev", previous)
-    same_key = F.coalesce(
-        (F.col("_prev.grouping") == F.col("grouping")) & (F.col("_prev.key") == F.col("key")), F.lit(False)
-    )
-    scan = scan.withColumns({"_same": same_key, "_at": F.col("_before") + F.col(o.ROW)})
-    last_starts = scan.groupBy(o.PART).agg(F.max(F.when(~F.col("_same"), F.col("_at"))).alias("_start"))
-    carried = last_starts.select(o.PART, o.earlier_max("_start").alias("_open_start"))
+        F.count("*").alias("_n"), F.max_by(F.struct("grouping", "key", "step"), o.ROW).alias("_last"))
+    # where each part's last key begins in that part
+    last_keys = ends.select(o.PART, F.col("_last.grouping").alias("grouping"), F.col("_last.key").alias("key"))
+    begins = placed.join(F.broadcast(last_keys), [o.PART, "grouping", "key"]).groupBy(o.PART).agg(
+        F.min(o.ROW).alias("_first"))
+    parts = ends.join(begins, o.PART).select(
+        o.PART, "_last", "_first", o.earlier_sum("_n").alias("_before"), o.from_previous_part("_last").alias("_carried"))
+    continues = (F.col("_first") == 0) & _same_key("_last", "_carried")
+    parts = parts.withColumn("_start", F.when(~continues, F.col("_before") + F.col("_first")))
+    parts = parts.select(o.PART, "_before", "_carried", o.earlier_max("_start").alias("_open_start"))
+
+    scan = o.with_part_state(placed, parts).withColumn("_here", F.struct("grouping", "key", "step"))
+    scan = scan.withColumn("_prev", F.coalesce(F.lag("_here").over(o.in_part()), F.col("_carried")))
+    scan = scan.withColumns({"_same": _same_key("_here", "_prev"), "_at": F.col("_before") + F.col(o.ROW)})
     started = F.max(F.when(~F.col("_same"), F.col("_at"))).over(o.running())
-    ranked = o.with_part_state(scan, carried).select(
+    ranked = scan.select(
         INDEX, "grouping", "step", F.when(F.col("_same"), F.col("_prev.step")).alias("prev"),
         (F.col("_at") - F.coalesce(started, F.col("_open_start")) + 1).alias("rank"),
     )
@@ -130,6 +134,11 @@ def sequence_features(indexed: DataFrame) -> DataFrame:
     return ranked.groupBy(INDEX).agg(*[c.alias(n) for n, c in per_event.items()])
 
 
+def _same_key(left: str, right: str) -> Column:
+    same = (F.col(f"{left}.grouping") == F.col(f"{right}.grouping")) & (F.col(f"{left}.key") == F.col(f"{right}.key"))
+    return F.coalesce(same, F.lit(False))
+
+
 def _keyed(grouping: str, key: Column, step: Column) -> Column:
     return F.struct(F.lit(grouping).alias("grouping"), key.alias("key"), step.alias("step"))
 
@@ -182,8 +191,12 @@ def _mark(name: str, key: Column, at: Column, mark: int) -> Column:
 
 
 def derive_event_features(events: DataFrame, rules: Mapping[str, Sequence[str]] = FLAG_RULES) -> DataFrame:
-    """The full event table: every input column plus all derived features."""
-    indexed = with_row_index(with_row_features(events, rules))
+    """The full event table: every input column plus all derived features.
+
+    The global sort runs on the input columns; row features are cheap enough to
+    be computed where they are read instead of travelling through the sort.
+    """
+    indexed = with_row_features(with_row_index(events), rules)
     counts = [f"{name}_prev_{suffix}" for name in PRIOR_KEYS for suffix in PRIOR_WINDOWS]
     return (
         indexed.join(sequence_features(indexed), INDEX, "left")

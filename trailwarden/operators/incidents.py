@@ -76,25 +76,24 @@ def assign_incidents(events: DataFrame, gap_minutes: float = 30, mode: str = SPL
     continues = (F.col("_prev._key") == F.col("_key")) & (gap <= gap_minutes * 60)
     scan = scan.withColumn("_starts", ~F.coalesce(continues, F.lit(False)))
 
-    # running counts of islands and of non-null values, per part
+    # running counts of islands and of non-null values, and the counts where the running island began
     running = {"_islands": F.sum(F.col("_starts").cast("long")).over(o.running())}
     running |= {f"_n_{c}": F.count(c).over(o.running()) for c in SEQUENCES}
     scan = scan.withColumns(running)
-    before_start = {c: F.when(F.col("_starts"), F.col(f"_n_{c}") - F.col(c).isNotNull().cast("long")) for c in SEQUENCES}
+    begun = {c: F.when(F.col("_starts"), F.col(f"_n_{c}") - F.col(c).isNotNull().cast("long")) for c in SEQUENCES}
+    scan = scan.withColumns({f"_base_{c}": F.max(begun[c]).over(o.running()) for c in SEQUENCES})
+    scan = materialize(scan.drop("_prev", "_carried", "_key"), "incident-events")
 
-    tails = [(F.count(c) - F.coalesce(F.max(before_start[c]), F.lit(0))).alias(f"_open_{c}") for c in SEQUENCES]
+    tails = [(F.count(c) - F.coalesce(F.max(f"_base_{c}"), F.lit(0))).alias(f"_open_{c}") for c in SEQUENCES]
     parts = scan.groupBy(o.PART).agg(F.count_if("_starts").alias("_opened"), *tails)
     parts = o.open_run_carry(parts, "_opened", [f"_open_{c}" for c in SEQUENCES])
     parts = parts.withColumn("_earlier", o.earlier_sum("_opened")).drop("_opened")
-
-    scan = o.with_part_state(scan, parts)
-    bases = {f"_base_{c}": F.max(before_start[c]).over(o.running()) for c in SEQUENCES}
-    scan = scan.withColumns(bases)
     ordinals = {
-        f"_ord_{c}": F.col(f"_n_{c}") - F.coalesce(F.col(f"_base_{c}"), -F.col(f"_open_{c}")) for c in SEQUENCES
+        c: F.col(f"_n_{c}") - F.coalesce(F.col(f"_base_{c}"), -F.col(f"_open_{c}")) for c in SEQUENCES
     }
-    return scan.withColumns(ordinals).select(
-        (F.col("_earlier") + F.col("_islands")).alias(ISLAND), o.POS, *EVENT_COLUMNS, *ordinals
+    return o.with_part_state(scan, parts).select(
+        (F.col("_earlier") + F.col("_islands")).alias(ISLAND), o.POS, *EVENT_COLUMNS,
+        *[ordinal.alias(f"_ord_{c}") for c, ordinal in ordinals.items()],
     )
 
 
@@ -106,7 +105,7 @@ def build_incidents(
     events: DataFrame, gap_minutes: float = 30, sequence_limit: int = 50, mode: str = SPLIT
 ) -> DataFrame:
     """One row per incident; sequences hold the first ``sequence_limit`` values."""
-    assigned = materialize(assign_incidents(events, gap_minutes, mode), "incident-events")
+    assigned = assign_incidents(events, gap_minutes, mode)
     totals = _totals(assigned, sequence_limit)
     variety = _variety(assigned)
     agents = _first_distinct(assigned, "user_agent", sequence_limit).withColumnRenamed("values", "agents")

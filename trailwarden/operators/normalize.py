@@ -90,13 +90,12 @@ def compact_json(path: str) -> Column:
 
 def presence_state(path: str) -> Column:
     part = F.variant_get("record", f"$.{path}", "variant")
-    is_text = F.schema_of_variant(part) == "STRING"
-    blank = is_text & (F.try_variant_get(part, "$", "string") == "")
+    blank = F.try_variant_get(part, "$", "string") == ""
     empty_list = F.size(F.try_variant_get(part, "$", "array<variant>")) == 0
     return (
         F.when(part.isNull(), "absent")
         .when(F.is_variant_null(part), "null")
-        .when(blank | F.coalesce(empty_list, F.lit(False)), "empty")
+        .when(F.coalesce(blank, F.lit(False)) | F.coalesce(empty_list, F.lit(False)), "empty")
         .otherwise("present")
     )
 

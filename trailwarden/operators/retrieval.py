@@ -31,7 +31,13 @@ def terms(text: Column) -> Column:
 
 
 def term_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(terms(F.col(text))).alias("term")).groupBy(
+    """Term frequencies per document.
+
+    Texts are placed by document once; counting, norms and weights of a document
+    then stay in that placement, and the longer list of terms is never shuffled.
+    """
+    placed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body")).repartition("doc_id")
+    return placed.select("doc_id", F.explode(terms(F.col("body"))).alias("term")).groupBy(
         "doc_id", "term").agg(F.count("*").alias("tf"))
 
 
@@ -68,9 +74,9 @@ def tfidf_index(docs: DataFrame, doc_id: str, text: str, max_terms: int = 20_000
     # the vocabulary never exceeds max_terms rows, whatever the corpus size
     weighted = counts.join(F.broadcast(vocabulary), "term").select(
         "doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"), "shards")
-    norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    postings = weighted.join(norms, "doc_id").select(
-        "doc_id", "term", (F.col("w") / F.col("norm")).alias("weight"), _shard_of("doc_id").alias("shard"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
+    postings = weighted.select(
+        "doc_id", "term", (F.col("w") / norm).alias("weight"), _shard_of("doc_id").alias("shard"))
     return TfIdfIndex(postings, vocabulary)
 
 
@@ -164,11 +170,12 @@ def and_search(
     are then looked up by (term, document), a key without hot values.  Tokens
     match exactly: there is no stemming.
     """
-    token = F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), F.lit(0)))
-    postings = docs.select(F.col(doc_id).alias("doc_id"), token.alias("term")).groupBy("doc_id", "term").agg(
-        F.count("*").alias("tf"))
     wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(F.flatten(F.transform(
         F.col(keywords), lambda word: F.regexp_extract_all(F.lower(word), F.lit(TOKEN), F.lit(0)))))).alias("term"))
+    token = F.explode(F.regexp_extract_all(F.lower("body"), F.lit(TOKEN), F.lit(0)))
+    placed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body")).repartition("doc_id")
+    postings = placed.select("doc_id", token.alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    postings = postings.join(wanted.select("term").distinct(), "term", "left_semi").select("doc_id", "term", "tf")
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
     wanted = wanted.join(frequency, "term", "left").fillna(0, subset=["df"])
     plan = wanted.groupBy("query_id").agg(

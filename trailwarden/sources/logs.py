@@ -99,18 +99,15 @@ def split_records(files: DataFrame) -> DataFrame:
         ~F.coalesce(readable, F.lit(False)),
         F.when(F.col("file._corrupt").isNull() | is_json, "ValueError").otherwise("JSONDecodeError"),
     )
-    entries = F.when(reason.isNull(), F.col("file.Records"))
+    # parsed inside the generator, so that a filter on the record does not parse it again
+    entries = F.transform(F.when(reason.isNull(), F.col("file.Records")),
+                          lambda entry: F.when(F.ltrim(entry).startswith("{"), F.try_parse_json(entry)))
     exploded = parsed.select(
         "source", "file_name", "counts_as_file", reason.alias("file_reason"),
-        F.posexplode_outer(entries).alias("pos", "entry"),
+        F.posexplode_outer(entries).alias("pos", "record"),
     )
-    record = F.when(F.ltrim("entry").startswith("{"), F.try_parse_json("entry"))
-    return exploded.withColumns({
-        "record": record,
-        "entry_reason": F.when(
-            F.col("file_reason").isNull() & F.col("pos").isNotNull() & record.isNull(), "NonObjectRecord"
-        ),
-    })
+    return exploded.withColumn("entry_reason", F.when(
+        F.col("file_reason").isNull() & F.col("pos").isNotNull() & F.col("record").isNull(), "NonObjectRecord"))
 
 
 def records(split: DataFrame) -> DataFrame:

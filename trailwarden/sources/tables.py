@@ -26,8 +26,8 @@ _EVENT_NAMES = {
 
 def audit_events(spark: SparkSession, folder: str) -> DataFrame:
     """The ``events`` table read as normalized audit events (nulls included on purpose)."""
-    events = read_table(spark, folder, "events")
-    k = F.get_json_object("props", "$.k").cast("long")
+    events = read_table(spark, folder, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    k = F.col("k")
     user = F.col("user_id").cast("string")
     event_type = F.col("event_type")
     names, sources = F.lit(None).cast("string"), F.lit(None).cast("string")
