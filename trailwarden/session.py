@@ -44,9 +44,8 @@ def staging_root(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="trailwarden-")
-    spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trailwarden-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

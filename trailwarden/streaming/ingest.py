@@ -31,9 +31,11 @@ def stream_log_files(spark: SparkSession, folder: str, files_per_trigger: int =
     return files.select("path", "content").mapInPandas(logs._texts, logs.TEXT_SCHEMA)
 
 
-def stream_events(spark: SparkSession, folder: str, rules: Mapping[str, Sequence[str]] = FLAG_RULES) -> DataFrame:
+def stream_events(
+    spark: SparkSession, folder: str, rules: Mapping[str, Sequence[str]] = FLAG_RULES, files_per_trigger: int = 1000
+) -> DataFrame:
     """Normalized events with row features; ranks and exact counts stay batch."""
-    split = logs.split_records(stream_log_files(spark, folder))
+    split = logs.split_records(stream_log_files(spark, folder, files_per_trigger))
     return with_row_features(normalize_records(logs.records(split)), rules)
 
 
