@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rows import attach_row
+
 # fixed values: file column -> output column
 FLOW_COLUMNS = {
     "Timestamp": "timestamp",
@@ -72,12 +74,11 @@ def review_attachment(incidents: DataFrame, summary: DataFrame, reviewed: bool)
     ``summary`` is a single row, so every incident carries a copy of its fields.
     """
     block = summary.select(
-        F.lit(1).alias("_one"),
         F.lit("reviewed" if reviewed else "available_not_reviewed").alias("network_status"),
         "file_count", "suspicious_flow_count", "suspicious_ratio", "top_suspicious_labels",
         (F.col("suspicious_flow_examples") if reviewed else F.lit(None)).alias("suspicious_flow_examples"),
     )
-    return incidents.withColumn("_one", F.lit(1)).join(F.broadcast(block), "_one", "left").drop("_one")
+    return attach_row(incidents, block)
 
 
 def evidence_package(flows: DataFrame, max_examples: int = 6) -> DataFrame:
@@ -91,9 +92,4 @@ def evidence_package(flows: DataFrame, max_examples: int = 6) -> DataFrame:
     examples = suspicious_examples(flows, max_examples).agg(
         F.collect_list(F.struct(*FLOW_COLUMNS.values())).alias("suspicious_flow_examples")
     )
-    one = F.lit(1).alias("_one")
-    summary = flow_summary(flows)
-    return (
-        summary.select("*", one).join(labels.select("*", one), "_one", "left")
-        .join(examples.select("*", one), "_one", "left").drop("_one")
-    )
+    return attach_row(attach_row(flow_summary(flows), labels), examples)

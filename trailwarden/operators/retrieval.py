@@ -19,9 +19,13 @@ POSTINGS_PER_SHARD = 20_000
 KEYWORD_SHARDS = 32
 
 
-def terms(text: Column) -> Column:
-    """Lower-cased tokens of two or more word characters, and their bigrams."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+def tokens_of(text: Column) -> Column:
+    """Lower-cased tokens of two or more word characters."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
+def terms(tokens: Column) -> Column:
+    """Tokens and their bigrams; takes a column of its own so that a text is split once."""
     pairs = F.zip_with(
         F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))),
         F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))),
@@ -37,7 +41,8 @@ def term_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     then stay in that placement, and the longer list of terms is never shuffled.
     """
     placed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body")).repartition("doc_id")
-    return placed.select("doc_id", F.explode(terms(F.col("body"))).alias("term")).groupBy(
+    split = placed.select("doc_id", tokens_of(F.col("body")).alias("tokens"))
+    return split.select("doc_id", F.explode(terms(F.col("tokens"))).alias("term")).groupBy(
         "doc_id", "term").agg(F.count("*").alias("tf"))
 
 
@@ -62,15 +67,11 @@ def _per_shard(query_terms: DataFrame) -> DataFrame:
 def tfidf_index(docs: DataFrame, doc_id: str, text: str, max_terms: int = 20_000) -> TfIdfIndex:
     """L2-normalized tf-idf weights over the most frequent ``max_terms`` terms."""
     counts = term_counts(docs, doc_id, text)
-    n_docs = docs.agg(F.count("*").alias("n"))
+    n_docs = docs.agg(F.count("*").alias("n")).scalar()
     frequent = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(
         F.desc("total"), "term").limit(max_terms)
-    idf = F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1.0
-    one = F.lit(1).alias("_one")
-    vocabulary = _with_shards(
-        frequent.select("*", one).join(F.broadcast(n_docs.select("*", one)), "_one")
-        .select("term", "df", idf.alias("idf"))
-    )
+    idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
+    vocabulary = _with_shards(frequent.select("term", "df", idf.alias("idf")))
     # the vocabulary never exceeds max_terms rows, whatever the corpus size
     weighted = counts.join(F.broadcast(vocabulary), "term").select(
         "doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"), "shards")
@@ -88,7 +89,8 @@ def search(index: TfIdfIndex, queries: DataFrame, query_id: str, text: str, k: i
     """Cosine top-k per query; equal queries are scored once, zero scores are no hits."""
     cleaned = queries.select(F.col(query_id).alias("query_id"), clean_query(F.col(text)).alias("query_text"))
     distinct = cleaned.where(F.col("query_text") != "").select("query_text").distinct()
-    counts = distinct.select("query_text", F.explode(terms(F.col("query_text"))).alias("term")).groupBy(
+    split = distinct.select("query_text", tokens_of(F.col("query_text")).alias("tokens"))
+    counts = split.select("query_text", F.explode(terms(F.col("tokens"))).alias("term")).groupBy(
         "query_text", "term").agg(F.count("*").alias("tf"))
     weighted = counts.join(F.broadcast(index.vocabulary), "term").select(
         "query_text", "term", (F.col("tf") * F.col("idf")).alias("w"), "shards")
@@ -100,7 +102,8 @@ def search(index: TfIdfIndex, queries: DataFrame, query_id: str, text: str, k: i
     best = Window.partitionBy("query_text").orderBy(F.desc("score"), "doc_id")
     hits = scores.where(F.col("score") > 0).withColumn("hit_rank", F.row_number().over(best)).where(
         F.col("hit_rank") <= k)
-    return cleaned.join(hits, "query_text").select("query_id", "doc_id", "score", "hit_rank")
+    return cleaned.join(hits, "query_text").select(
+        "query_id", "doc_id", "score", F.col("hit_rank").cast("long").alias("hit_rank"))
 
 
 def dedupe_hits(hits: DataFrame, query: str = "query_id") -> DataFrame:
@@ -172,7 +175,7 @@ def and_search(
     """
     wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(F.flatten(F.transform(
         F.col(keywords), lambda word: F.regexp_extract_all(F.lower(word), F.lit(TOKEN), F.lit(0)))))).alias("term"))
-    token = F.explode(F.regexp_extract_all(F.lower("body"), F.lit(TOKEN), F.lit(0)))
+    token = F.explode(tokens_of(F.col("body")))
     placed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body")).repartition("doc_id")
     postings = placed.select("doc_id", token.alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     postings = postings.join(wanted.select("term").distinct(), "term", "left_semi").select("doc_id", "term", "tf")
@@ -192,7 +195,7 @@ def and_search(
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return matched.where(F.col("found") == F.col("n_terms")).withColumn(
         "hit_rank", F.row_number().over(best)).where(F.col("hit_rank") <= limit).select(
-        "query_id", "doc_id", "score", "hit_rank")
+        "query_id", "doc_id", "score", F.col("hit_rank").cast("long").alias("hit_rank"))
 
 
 def with_domain(entries: DataFrame, domains: DataFrame, on: str = "domain_id") -> DataFrame:

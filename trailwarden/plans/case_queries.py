@@ -90,7 +90,7 @@ t AS (SELECT page_id, 'a' AS kind, unnest(string_split_regex(trim(a), '\s+')) AS
   UNION ALL SELECT page_id, 'b', unnest(string_split_regex(trim(b), '\s+')), 2 FROM p
   UNION ALL SELECT page_id, 'c', unnest(string_split_regex(trim(c), '\s+')), 3 FROM p)
 SELECT page_id, kind, count(*) AS tokens, min(tok) AS first_token, max(tok) AS last_token,
-  sum(strlen(tok)) AS bytes FROM t WHERE length(tok) > least GROUP BY page_id, kind""")
+  CAST(sum(strlen(tok)) AS BIGINT) AS bytes FROM t WHERE length(tok) > least GROUP BY page_id, kind""")
 def keyword_normalization(spark: SparkSession, folder: str) -> DataFrame:
     pages = read_table(spark, folder, "pages")
     text = F.concat_ws(" ", "url", "html")
@@ -351,9 +351,8 @@ WHERE severity_hint = 'High' AND coalesce(updated_at, created_at, now) >= now -
 ORDER BY coalesce(updated_at, created_at) DESC, incident_id DESC LIMIT 100""")
 def recent_high_severity_cases(spark: SparkSession, folder: str) -> DataFrame:
     stored = _case_table(spark, folder)
-    newest = stored.agg(F.max("created_at").alias("now"))
-    stamped = stored.withColumn("_one", F.lit(1)).join(F.broadcast(newest.withColumn("_one", F.lit(1))), "_one")
-    found = casework.recent_high_severity(stamped, F.col("now"), 720, 100)
+    newest = stored.agg(F.max("created_at").alias("now")).scalar()
+    found = casework.recent_high_severity(stored, newest, 720, 100)
     return found.select("incident_id", F.date_format(F.coalesce("updated_at", "created_at"), "yyyy-MM-dd").alias("touched"))
 
 

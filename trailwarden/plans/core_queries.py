@@ -326,7 +326,7 @@ def weak_labels(spark: SparkSession, folder: str) -> DataFrame:
         "incident_id", "weak_label_score", "weak_label_suspicious", "weak_label_reasons_json")
 
 
-@query(f"""WITH {LABELED} SELECT count(*) AS incident_count, sum(weak_label_suspicious) AS positive_count,
+@query(f"""WITH {LABELED} SELECT count(*) AS incident_count, CAST(sum(weak_label_suspicious) AS BIGINT) AS positive_count,
   round(avg(weak_label_suspicious), 6) AS positive_rate, CAST(5.0 AS DOUBLE) AS label_threshold, """
        + ", ".join(f"count(*) FILTER ({column}) AS hits_{rule}" for rule, column in RULE_COLUMNS.items())
        + """, min(weak_label_score) AS score_min, round(median(weak_label_score), 6) AS score_median,

@@ -97,7 +97,7 @@ def normalized_log_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"WITH {RAW}" + """ SELECT 'e' || event_id AS event_id,
-  CASE WHEN k % 7 = 2 THEN 0 WHEN k % 7 >= 4 THEN 4 END AS resource_count,
+  CAST(CASE WHEN k % 7 = 2 THEN 0 WHEN k % 7 >= 4 THEN 4 END AS BIGINT) AS resource_count,
   CASE WHEN k % 7 >= 4 THEN 'A|B' END AS resource_types_concat,
   CASE WHEN k % 7 >= 4 THEN 'y|z' END AS resource_arns_concat,
   CASE WHEN k % 7 >= 4 THEN '9' END AS resource_account_ids_concat FROM good""")
@@ -162,7 +162,7 @@ def top_value_report(spark: SparkSession, folder: str) -> DataFrame:
     return quality.top_values(stages.events_flat(spark, folder))
 
 
-@query("SELECT coalesce(sum(n - 1), 0) AS duplicate_event_ids FROM "
+@query("SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_event_ids FROM "
        "(SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)")
 def duplicate_id_count(spark: SparkSession, folder: str) -> DataFrame:
     return quality.duplicate_ids(read_table(spark, folder, "lineitem"), "l_orderkey")
@@ -279,9 +279,9 @@ m AS (SELECT cls, support, hit, CASE WHEN predicted = 0 THEN 0 ELSE CAST(hit AS
   CASE WHEN support = 0 THEN 0 ELSE CAST(hit AS DOUBLE) / support END AS recall,
   CASE WHEN predicted + support = 0 THEN 0 ELSE 2.0 * hit / (predicted + support) END AS f1 FROM r)
 SELECT cls, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CAST(f1 AS DOUBLE), 6) AS f1, support FROM m
-UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support) FROM m
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM m
 UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6),
-  round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), sum(support) FROM m
-UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(hit) / sum(support), 6), sum(support) FROM m""")
+  round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM m
+UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(hit) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM m""")
 def classification_report(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.classification_report(_document_scores(spark, folder))
