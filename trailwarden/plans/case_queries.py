@@ -168,15 +168,15 @@ def deduplicated_hits(spark: SparkSession, folder: str) -> DataFrame:
 # --- triage ---------------------------------------------------------------------------------
 def cases(spark: SparkSession, folder: str) -> DataFrame:
     risk = F.least(F.col("weak_label_score") / 20.0, F.lit(1.0))
-    return triage.decision_inputs(stages.labeled(spark, folder), risk)
+    return stages.stage(spark, folder, "decision-inputs", lambda: triage.decision_inputs(stages.labeled(spark, folder), risk))
 
 
 def triaged(spark: SparkSession, folder: str) -> DataFrame:
-    return triage.triage(cases(spark, folder))
+    return stages.stage(spark, folder, "triage-results", lambda: triage.triage(cases(spark, folder)))
 
 
 def reviewed(spark: SparkSession, folder: str) -> DataFrame:
-    return triage.coverage_review(triaged(spark, folder))
+    return stages.stage(spark, folder, "coverage-reviews", lambda: triage.coverage_review(triaged(spark, folder)))
 
 
 CASES = LABELED + """,

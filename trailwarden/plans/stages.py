@@ -1,7 +1,8 @@
 """The batch pipeline as Parquet-backed stages shared by later queries.
 
 Each stage is written once per application and input folder: events feed the
-incident build, labeled incidents feed everything after it.
+incident build, labeled incidents feed triage, stored triage results feed
+reviews, decisions, alerts and views.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ def incidents(
 
 
 def labeled(spark: SparkSession, folder: str) -> DataFrame:
-    return apply_weak_labels(incidents(spark, folder))
+    return stage(spark, folder, "incidents-labeled", lambda: apply_weak_labels(incidents(spark, folder)))
 
 
 def incident_members(spark: SparkSession, folder: str) -> DataFrame:

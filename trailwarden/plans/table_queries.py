@@ -71,6 +71,10 @@ def log_files(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("string").alias("reason"), F.lit(True).alias("counts_as_file"))
 
 
+def _log_entries(spark: SparkSession, folder: str) -> DataFrame:
+    return stages.stage(spark, folder, "log-entries", lambda: logs.split_records(log_files(spark, folder)))
+
+
 RAW = f"""
 src AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_id // {EVENTS_PER_FILE} AS file_no,
     row_number() OVER (PARTITION BY event_id // {EVENTS_PER_FILE} ORDER BY event_id) AS pos FROM events),
@@ -89,7 +93,7 @@ good AS (SELECT * FROM src WHERE file_no % 30 NOT IN (9, 19, 29))""".strip()
   CASE WHEN k % 2 = 0 THEN '{"a":{"c":[1,2],"d":"x"},"b":1,"k":' || k || '}' END AS request_parameters_json
 FROM good""")
 def normalized_log_records(spark: SparkSession, folder: str) -> DataFrame:
-    flat = normalize.normalize_records(logs.records(logs.split_records(log_files(spark, folder))))
+    flat = normalize.normalize_records(logs.records(_log_entries(spark, folder)))
     return flat.select(
         "event_id", "record_index_in_file", "source_file_name", time_text("event_time").alias("event_time"),
         "event_time_epoch_ms", "event_name", "read_only", "user_arn", "user_type", "session_mfa_authenticated",
@@ -102,7 +106,7 @@ def normalized_log_records(spark: SparkSession, folder: str) -> DataFrame:
   CASE WHEN k % 7 >= 4 THEN 'y|z' END AS resource_arns_concat,
   CASE WHEN k % 7 >= 4 THEN '9' END AS resource_account_ids_concat FROM good""")
 def log_resource_summary(spark: SparkSession, folder: str) -> DataFrame:
-    flat = normalize.normalize_records(logs.records(logs.split_records(log_files(spark, folder))))
+    flat = normalize.normalize_records(logs.records(_log_entries(spark, folder)))
     return flat.select("event_id", "resource_count", *normalize.RESOURCE_FIELDS)
 
 
@@ -118,7 +122,7 @@ def log_resource_summary(spark: SparkSession, folder: str) -> DataFrame:
 SELECT *, user_agent_presence_state <> 'present' AS missing_user_agent,
   resources_presence_state <> 'present' AS missing_resources FROM st""")
 def log_presence_states(spark: SparkSession, folder: str) -> DataFrame:
-    flat = normalize.normalize_records(logs.records(logs.split_records(log_files(spark, folder))))
+    flat = normalize.normalize_records(logs.records(_log_entries(spark, folder)))
     return flat.select(
         "event_id", *[f"{name}_presence_state" for name in normalize.PRESENCE_PATHS], "missing_user_agent",
         "missing_resources")
@@ -129,14 +133,14 @@ def log_presence_states(spark: SparkSession, folder: str) -> DataFrame:
   count(DISTINCT file_no) FILTER (file_no % 30 IN (9, 19, 29)) AS total_malformed_files,
   count(DISTINCT file_no) FILTER (file_no % 30 NOT IN (9, 19, 29)) AS total_malformed_records FROM src""")
 def log_ingest_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return logs.ingest_metrics(logs.split_records(log_files(spark, folder)))
+    return logs.ingest_metrics(_log_entries(spark, folder))
 
 
 @query(f"WITH {RAW}" + """ SELECT reason, count(*) AS entries FROM (
   SELECT file_no, CASE file_no % 30 WHEN 9 THEN 'ValueError' WHEN 19 THEN 'JSONDecodeError' WHEN 29 THEN 'ValueError'
     ELSE 'NonObjectRecord' END AS reason FROM src GROUP BY file_no) GROUP BY reason""")
 def log_malformed_reasons(spark: SparkSession, folder: str) -> DataFrame:
-    errors = logs.ingest_errors(logs.split_records(log_files(spark, folder)))
+    errors = logs.ingest_errors(_log_entries(spark, folder))
     return errors.groupBy("reason").agg(F.count("*").alias("entries"))
 
 
