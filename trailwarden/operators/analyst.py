@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import attach_row
+
 
 def actors_by_event_count(events: DataFrame, limit: int = 20) -> DataFrame:
     counts = events.groupBy("actor_key").agg(F.count("*").alias("event_count"))
@@ -44,3 +46,10 @@ def actors_from_recon_to_creation(events: DataFrame) -> DataFrame:
         F.max(F.when(acting, F.col("event_time"))).alias("last_creation"),
     )
     return spans.where(F.col("first_recon") < F.col("last_creation"))
+
+
+def sanity_slice(events: DataFrame, incidents: DataFrame, order: list, columns: list[str], n: int = 5) -> DataFrame:
+    """First rows of the event table with the row counts of both tables beside them."""
+    head = events.orderBy(*order).limit(n).select(*columns)
+    counts = events.agg(F.count("*").alias("event_rows"))
+    return attach_row(attach_row(head, counts), incidents.agg(F.count("*").alias("incident_rows")))

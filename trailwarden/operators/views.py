@@ -106,9 +106,9 @@ def _any_of(array: Column, values: Sequence[str]) -> Column:
 def human_list(items: Column) -> Column:
     size = F.size(items)
     return (
-        F.when(size == 0, "").when(size == 1, items[0])
-        .when(size == 2, F.concat(items[0], F.lit(" and "), items[1]))
-        .otherwise(F.concat(F.array_join(F.slice(items, 1, size - 1), ", "), F.lit(", and "), F.element_at(items, -1)))
+        F.when(size == 0, "").when(size == 1, F.get(items, 0))
+        .when(size == 2, F.concat(F.get(items, 0), F.lit(" and "), F.get(items, 1)))
+        .otherwise(F.concat(F.array_join(F.slice(items, 1, size - 1), ", "), F.lit(", and "), F.try_element_at(items, F.lit(-1))))
     )
 
 
@@ -120,14 +120,14 @@ def concern_summary() -> Column:
         F.when(_any_of(signals, on_signals) | _any_of(events, on_events), text)
         for text, on_signals, on_events in CONCERN_STATEMENTS
     ]), lambda s: s.isNotNull())
-    first = sentence_start(fired[0])
+    first = sentence_start(F.get(fired, 0))
     named = F.transform(F.slice("detector_labels", 1, 3), lambda s: F.lower(display_label(s)))
     return (
         F.when(F.size(fired) >= 3, F.concat(
-            first, F.lit(", "), fired[1], F.lit(", and "), fired[2],
+            first, F.lit(", "), F.get(fired, 1), F.lit(", and "), F.get(fired, 2),
             F.lit(". This sequence is concerning because it looks like hands-on activity after access was gained.")))
         .when(F.size(fired) == 2, F.concat(
-            first, F.lit(", and "), fired[1],
+            first, F.lit(", and "), F.get(fired, 1),
             F.lit(". Together, that pattern is more concerning than any one event on its own.")))
         .when(F.size(fired) == 1, F.concat(
             first, F.lit(". The system flagged it because this kind of activity often appears in suspicious "

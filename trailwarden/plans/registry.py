@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import case_queries, core_queries, model_queries, table_queries
+from . import case_queries, core_queries, model_queries, source_queries, table_queries
 
-_MODULES = [core_queries, table_queries, case_queries, model_queries]
+_MODULES = [core_queries, table_queries, case_queries, model_queries, source_queries]
 
 
 def queries() -> dict:
