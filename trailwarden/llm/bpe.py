@@ -26,11 +26,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, list_column
+from .common import id_text, list_column, text_slices
 from .tokens import WITH_SPACE, UnitEncoder
 
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-NO_PAIR = 1 << 60
+NO_PAIR = 1 << 62
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -41,35 +41,6 @@ def byte_alphabet() -> dict[int, str]:
     return table | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class PairTree:
-    """Segment tree of (rank, leaf) minima, ties to the left."""
-
-    def __init__(self, ranks: list[int]):
-        self.size = 1 << max(0, (len(ranks) - 1).bit_length())
-        self.node = [NO_PAIR] * (2 * self.size)
-        self.node[self.size:self.size + len(ranks)] = ranks
-        for i in range(self.size - 1, 0, -1):
-            self.node[i] = min(self.node[2 * i], self.node[2 * i + 1])
-
-    def set(self, leaf: int, rank: int) -> None:
-        node, i = self.node, self.size + leaf
-        node[i] = rank
-        i >>= 1
-        while i:
-            least = min(node[2 * i], node[2 * i + 1])
-            if node[i] == least:
-                break
-            node[i] = least
-            i >>= 1
-
-    def first_lowest(self) -> tuple[int, int]:
-        node = self.node
-        rank, i = node[1], 1
-        while i < self.size:
-            i = 2 * i if node[2 * i] == rank else 2 * i + 1
-        return rank, i - self.size
-
-
 class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -78,8 +49,9 @@ class Vocabulary:
         letters = byte_alphabet()
         back = {c: b for b, c in letters.items()}
         self.byte_ids = [ids[letters[b]] for b in range(256)]
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        self.ranks = {ids[a] << 20 | ids[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.merged = [ids[a + b] for a, b in pairs]
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.added = added
         self.splitter = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
@@ -89,39 +61,68 @@ class Vocabulary:
             self.bytes_of[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
         for token, i in added.items():
             self.bytes_of[i] = token.encode()
-        self.words: dict[bytes, list[int]] = {}
+        self.bytes_of.append(b"")
 
     def merge(self, word: bytes) -> list[int]:
-        """Ids of one word."""
+        """Ids of one word.
+
+        A tree node is the least ``rank * 2^32 + leaf`` below it, so the root is
+        the leftmost of the lowest-ranked pairs.
+        """
         symbols = [self.byte_ids[b] for b in word]
         n = len(symbols)
         if n < 2:
             return symbols
-        merges = self.merges
-        rank_of = lambda a, b: merges.get((a, b), (NO_PAIR, 0))[0]
-        tree = PairTree([rank_of(a, b) for a, b in zip(symbols, symbols[1:])])
+        ranks = self.ranks
+        size = 1 << (n - 2).bit_length()
+        tree = [NO_PAIR] * (2 * size)
+        for i in range(n - 1):
+            rank = ranks.get(symbols[i] << 20 | symbols[i + 1])
+            if rank is not None:
+                tree[size + i] = rank << 32 | i
+        for i in range(size - 1, 0, -1):
+            a, b = tree[2 * i], tree[2 * i + 1]
+            tree[i] = a if a < b else b
         after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
-        while True:
-            rank, i = tree.first_lowest()
-            if rank == NO_PAIR:
-                break
+
+        def put(leaf: int, value: int) -> None:
+            i = size + leaf
+            if tree[i] == value:
+                return
+            tree[i] = value
+            while i > 1:
+                other = tree[i ^ 1]
+                i >>= 1
+                least = value if value < other else other
+                if tree[i] == least:
+                    return
+                tree[i] = value = least
+
+        while (root := tree[1]) != NO_PAIR:
+            i = root & 0xFFFFFFFF
             j = after[i]
-            symbols[i] = merges[symbols[i], symbols[j]][1]
+            symbols[i] = merged = self.merged[root >> 32]
             symbols[j] = -1
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
+            after[i] = k = after[j]
             if j < n - 1:
-                tree.set(j, NO_PAIR)
-            if i < n - 1:
-                tree.set(i, rank_of(symbols[i], symbols[after[i]]) if after[i] < n else NO_PAIR)
-            if before[i] >= 0:
-                tree.set(before[i], rank_of(symbols[before[i]], symbols[i]))
+                put(j, NO_PAIR)
+            if k < n:
+                before[k] = i
+                rank = ranks.get(merged << 20 | symbols[k])
+                put(i, NO_PAIR if rank is None else rank << 32 | i)
+            else:
+                put(i, NO_PAIR)
+            h = before[i]
+            if h >= 0:
+                rank = ranks.get(symbols[h] << 20 | merged)
+                put(h, NO_PAIR if rank is None else rank << 32 | h)
         return [s for s in symbols if s >= 0]
 
     def encode(self, text: str) -> list[int]:
+        if self.splitter is None or not self.splitter.search(text):
+            return [i for word in self.pretoken.findall(text) for i in self.merge(word.encode("utf-8"))]
         ids: list[int] = []
-        for part in self.splitter.split(text) if self.splitter else [text]:
+        for part in self.splitter.split(text):
             if part in self.added:
                 ids.append(self.added[part])
                 continue
@@ -129,15 +130,11 @@ class Vocabulary:
                 ids += self.merge(word.encode("utf-8"))
         return ids
 
-    def encode_units(self, units: list[str]) -> list[list[int]]:
-        return [self.encode(u) for u in units]
+    def encode_units(self, units: list[str]) -> list[bytes]:
+        return [np.array(self.encode(u), "<u4").tobytes() for u in units]
 
-    def decode(self, ids: list[int]) -> str:
-        table, n = self.bytes_of, len(self.bytes_of)
-        try:
-            return b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")
-        except (IndexError, TypeError):
-            return b"".join(table[i] for i in ids if i is not None and 0 <= i < n).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 _LOADED: dict[str, tuple[Vocabulary, UnitEncoder]] = {}
@@ -156,8 +153,8 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         _, encoder = vocabulary(vocab_path)
-        for batch in batches:
-            parts = [encoder(t) for t in batch.column("text").to_pylist()]
+        for batch in (b for whole in batches for b in text_slices(whole)):
+            parts = encoder(batch.column("text").to_pylist())
             offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts], dtype=np.int64)])
             values = np.frombuffer(b"".join(parts), "<i4")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), list_column(values, offsets)], ["doc_id", "ids"])
@@ -170,11 +167,17 @@ def decode(tokens: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col:
 
     def run(batches):
         vocab, _ = vocabulary(vocab_path)
+        n = len(vocab.bytes_of) - 1
         for batch in batches:
-            texts = pa.array([vocab.decode(ids or []) for ids in batch.column("ids").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), texts], ["doc_id", "ids", "text"])
-
-    chosen = tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
+            column = batch.column("ids")
+            offsets = (column.offsets.to_numpy() - column.offsets[0].as_py()).tolist()
+            flat = column.flatten()
+            ids = flat.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids[(ids < 0) | (ids >= n)] = n  # one past the vocabulary: decodes to nothing
+            texts = pa.array([vocab.decode(ids[a:b]) for a, b in zip(offsets, offsets[1:])], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column, texts], ["doc_id", "ids", "text"])
+
+    chosen = tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
     return chosen.mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 

@@ -63,6 +63,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[raw[0]:raw[-1]], raw - raw[0]
 
 
+def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``SLICE_BYTES`` of text."""
+    offsets = text_bytes(batch.column(column))[1]
+    for a, b in slices(np.diff(offsets)):
+        yield batch.slice(a, b - a)
+
+
 def list_column(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, list_column
+from .common import id_text, list_column, text_slices
 from .token_files import crc32_of_ids
 from .tokens import library_encoder
 
@@ -75,10 +75,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, sequence: int
     def run(batches):
         encoder = library_encoder(tokenizer_path, with_space)
         tail = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in (b for whole in batches for b in text_slices(whole)):
             doc, copy, start, length, total, body = [], [], [], [], [], []
-            for doc_id, number, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "copy", "text"))):
-                ids = encoder(text) + tail
+            encoded = encoder(batch.column("text").to_pylist())
+            for doc_id, number, ids in zip(batch.column("doc_id").to_pylist(), batch.column("copy").to_pylist(), encoded):
+                ids += tail
                 n = len(ids) // 4
                 body.append(ids)
                 for at in range(0, n, sequence):

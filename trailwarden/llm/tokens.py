@@ -1,7 +1,7 @@
 """Token ids of whole texts, by way of the distinct words of a task.
 
-A token never spans the place where white space begins, so a text is the
-concatenation of units ``white space + word``.  Every distinct unit is encoded
+A token never spans the place where white space begins, nor a letter followed
+by a mark, so a text is the concatenation of units ``white space + word``.  Every distinct unit is encoded
 once per task and kept; a text is then a join of known byte strings.  The kept
 units are dropped when they reach ``CACHE_UNITS``, which costs time only.
 """
@@ -15,51 +15,78 @@ import numpy as np
 
 # white space as the tokenizers' patterns see it: \s of `re` without the four ASCII separators
 _WS, _NON_WS = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
-WITH_SPACE = re.compile(f"{_WS}*{_NON_WS}+|{_WS}+")
-WITHOUT_SPACE = re.compile(f"{_NON_WS}+")
-CACHE_UNITS = 1 << 18
-CACHE_CHARS = 64 << 20
+# letters and marks on which all engines agree; between the two a token always ends
+_LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", "[.,!?;:|$%&#*]"
+_WORD = f"{_LETTERS}++(?={_MARKS}|{_WS}|\\Z)|{_NON_WS}++"
+WITH_SPACE = re.compile(f"{_WS}*+(?:{_WORD})|{_WS}+")
+WITHOUT_SPACE = re.compile(_WORD)
+CACHE_UNITS = 1 << 19
+CACHE_CHARS = 16 << 20
 
 
 class UnitEncoder:
-    """Texts to little-endian unsigned 32-bit ids; ``encode_units`` encodes a list of distinct units."""
+    """Texts to little-endian unsigned 32-bit ids; ``encode_units`` encodes a list of distinct units.
 
-    def __init__(self, unit: re.Pattern, encode_units: Callable[[list[str]], list[list[int]]]):
+    Known units are held in two generations: when the younger is full the older
+    is dropped, and a unit met again moves to the younger.
+    """
+
+    def __init__(self, unit: re.Pattern, encode_units: Callable[[list[str]], list[bytes]]):
         self.unit, self.encode_units = unit, encode_units
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.chars = 0
 
-    def __call__(self, text: str) -> bytes:
-        units = self.unit.findall(text)
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, units))
-        except KeyError:
-            pass
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; the texts' new units are encoded together."""
+        cut = list(map(self.unit.findall, texts))
+        known, older = self.known, self.older
+        new = {u for units in cut for u in units if u not in known}
+        if new and older:
+            again = new & older.keys()
+            for u in again:
+                known[u] = older[u]
+            new -= again
+        fresh = list(new)
+        self.chars += sum(map(len, fresh))
+        known.update(zip(fresh, self.encode_units(fresh)))
+        out = [b"".join(map(known.__getitem__, units)) for units in cut]
         if len(known) > CACHE_UNITS or self.chars > CACHE_CHARS:
-            known.clear()
-            self.chars = 0
-        new = [u for u in set(units) if u not in known]
-        self.chars += sum(map(len, new))
-        for word, ids in zip(new, self.encode_units(new)):
-            known[word] = np.asarray(ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, units))
+            self.known, self.older, self.chars = {}, known, 0
+        return out
 
 
 _LOADED: dict[tuple[str, bool], UnitEncoder] = {}
 
 
 def library_encoder(path: str, with_space: bool) -> UnitEncoder:
-    """The tokenizers library's ids without added special tokens; one per Python worker."""
+    """The tokenizers library's ids without added special tokens; one per Python worker.
+
+    Units are sent to the library as one text with a special token between them
+    (which always stands alone), and the ids are cut there again.
+    """
     if (path, with_space) not in _LOADED:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-
-        def encode(units: list[str]) -> list[list[int]]:
-            return [e.ids for e in tokenizer.encode_batch(units, add_special_tokens=False)]
+        special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items() if t.special}
+        mark = next(iter(special), None)
+
+        def encode(units: list[str]) -> list[bytes]:
+            if mark is None or any(mark in u for u in units):
+                batch = tokenizer.encode_batch(units, add_special_tokens=False)
+                return [np.array(e.ids, "<u4").tobytes() for e in batch]
+            found: list[bytes] = []
+            for at in range(0, len(units), 5000):
+                part = units[at:at + 5000]
+                ids = np.array(tokenizer.encode(mark.join(part), add_special_tokens=False).ids, "<u4")
+                ends = np.flatnonzero(ids == special[mark])
+                body = ids.tobytes()
+                starts = [0, *(4 * (ends + 1)).tolist()]
+                found += [body[a:b] for a, b in zip(starts, [*(4 * ends).tolist(), len(body)])]
+            return found
 
         _LOADED[path, with_space] = UnitEncoder(WITH_SPACE if with_space else WITHOUT_SPACE, encode)
     return _LOADED[path, with_space]
