@@ -421,15 +421,29 @@ def linked_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sizes, linked.withColumnRenamed("node", "text_id")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id``: one row per input row."""
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, text_id`` of every row; ``text_id, n, least, first`` of every text.
+
+    ``least`` is the text's smallest id, ``first`` the (least, text_id) of the component's leading text.
+    """
     rows = id_text(docs, id_col, text_col).withColumn("text_id", text_id("text"))
     sizes, linked = linked_texts(distinct_texts(rows))
     ids = rows.select("doc_id", "text_id")
     classes = sizes.join(linked, "text_id", "left").select("text_id", "n", F.coalesce("root", "text_id").alias("root"))
     least = ids.groupBy("text_id").agg(F.min("doc_id").alias("least")).join(classes, "text_id")
-    smallest = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = least.join(smallest, "root").select("text_id", "n", "component_id")
-    alone = F.col("n") == 0
-    return ids.join(placed, "text_id").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    order = F.struct(F.col("least").isNull().alias("none"), "least", "text_id")  # texts with ids before those without
+    leading = least.groupBy("root").agg(F.min(order).alias("first"))
+    return ids, least.join(leading, "root").select("text_id", "n", "least", "first")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id``: one row per input row."""
+    ids, texts = _classes(docs, id_col, text_col)
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("first.least"))
+    return ids.join(texts, "text_id").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def leading_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``text_id, least``: of each component with words, the text that holds its smallest id."""
+    _, texts = _classes(docs, id_col, text_col)
+    return texts.where((F.col("n") > 0) & (F.col("first.text_id") == F.col("text_id"))).select("text_id", "least")

@@ -33,7 +33,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staging_root
@@ -339,10 +339,16 @@ def cut(texts: DataFrame, spans: DataFrame, length: int = LENGTH) -> DataFrame:
     return joined.mapInArrow(run, "text_id binary, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
-def text_id(text):
+def text_id(text: str | Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+def valid_text(kept: str) -> Column:
+    """The bytes as text; a cut inside a character leaves pieces of it, which go (as does any U+FFFD of that text)."""
+    text = F.col(kept).cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
+
+
 def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, block_bytes: int = BLOCK_BYTES,
           id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The documents' text digests (``doc_id, text_id``) and what is left of each different text (see ``cut``)."""
