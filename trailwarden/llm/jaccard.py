@@ -384,7 +384,7 @@ def _edges(rows: DataFrame, group: str, parts: int, payload: str, find) -> DataF
 
 def linked_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``text_id, n`` of every text, and ``text_id, root`` of the texts that are linked with others."""
-    parts = int(max(shuffle_parts(texts.sparkSession), input_bytes(texts) // PART_BYTES))
+    parts = max(shuffle_parts(texts.sparkSession), input_bytes(texts) // PART_BYTES)
     sizes, counters = _sizes_and_counters(texts)
     blocks = staged(_blocks(texts, counters, parts), "jaccard-blocks")
 

@@ -192,7 +192,7 @@ def repeated_starts(contexts: list[bytes], length: int) -> list[np.ndarray]:
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """``text_id, text, copies``: every different text once, as files bucketed by ``text_id``."""
     spark = docs.sparkSession
-    buckets = int(max(shuffle_parts(spark), input_bytes(docs) // PART_BYTES))
+    buckets = min(100_000, max(shuffle_parts(spark), input_bytes(docs) // PART_BYTES))  # Spark's most
     name = f"llm_texts_{uuid.uuid4().hex}"
     once = docs.groupBy("text_id").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     once.write.bucketBy(buckets, "text_id").option("path", f"{staging_root(spark).rstrip('/')}/{name}").option(
@@ -301,7 +301,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     sized = F.transform("picks", lambda p: F.struct(
         p["at"].alias("at"), (F.coalesce(p["next"], total) - p["at"]).alias("n"), p["key"].alias("key"), p["hot"].alias("hot")))
     picked = texts.join(picks, "text_id").select("text_id", "text", sized.alias("picks"))
-    parts = int(max(shuffle_parts(texts.sparkSession), input_bytes(texts) // PART_BYTES))
+    parts = max(shuffle_parts(texts.sparkSession), input_bytes(texts) // PART_BYTES)
     routed = _contexts(picked, length).repartition(parts, "route").sortWithinPartitions("route")
     covered = _covered(routed, length, block_bytes)
     return covered.groupBy("text_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
