@@ -162,7 +162,9 @@ def keep_good(docs: DataFrame, model: RuleModel, threshold: float = 0.7, text_co
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     scored = with_statistics(docs.select(whole.alias("_row"), text.alias("text")))
-    return scored.where(model.column() >= threshold).select("_row.*")
+    # the row number keeps the filter above the projection; below it, every rule would count its statistics again
+    once = scored.select("_row", model.column().alias("_score"), F.monotonically_increasing_id().alias("_number"))
+    return once.where((F.col("_score") >= threshold) & (F.col("_number") >= 0)).select("_row.*")
 
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 4, held_out: int = 2,
