@@ -45,7 +45,8 @@ def test_folder_scan_reads_plain_gzip_and_archive(spark, folder):
 def test_single_file_is_read_whatever_its_name(spark, tmp_path):
     path = tmp_path / "audit.log"
     path.write_bytes(_file({"eventID": "x"}))
-    assert logs.records(logs.split_records(logs.read_log_files(spark, str(path)))).count() == 1
+    for name in (str(path), path.as_uri(), f"file://{path}"):
+        assert logs.records(logs.split_records(logs.read_log_files(spark, name))).count() == 1
 
 
 def _text(spark, text):

@@ -96,6 +96,33 @@ def test_alert_batches_are_idempotent(spark, tmp_path):
     assert (counts.candidates, counts.processed, counts.failed) == (1, 1, 0)
 
 
+def test_a_new_checkpoint_keeps_the_alert_history(spark, tmp_path):
+    path = str(tmp_path / "out")
+    schema = "incident_id string"
+    for run, names in enumerate((["i1", "i2"], ["i2", "i3"])):
+        folder = str(tmp_path / f"in{run}")
+        spark.createDataFrame([(n,) for n in names], schema).coalesce(1).write.parquet(folder)
+        alerts.alert_stream(
+            spark.readStream.schema(schema).parquet(folder),
+            lambda batch: _cases(spark, ["i1", "i2", "i3"]).join(batch, "incident_id", "left_semi"), path, str(tmp_path / f"cp{run}"),
+            ["a@x.org"]).trigger(availableNow=True).start().awaitTermination(120)
+    sent = spark.read.parquet(path)
+    assert sorted(r.incident_id for r in sent.collect()) == ["i1", "i2", "i3"]
+    assert sent.select("run_id").distinct().count() == 2
+    alerts.scan_once(_cases(spark, ["i1", "i4"]), 0, path, ["a@x.org"])
+    alerts.scan_once(_cases(spark, ["i5"]), 0, path, ["a@x.org"])
+    assert sorted(r.incident_id for r in spark.read.parquet(path).collect()) == ["i1", "i2", "i3", "i4", "i5"]
+
+
+def test_duplicate_drop_keeps_the_first_row(spark):
+    from trailwarden.streaming import ingest
+
+    rows = spark.createDataFrame([("e", "b", 1, "later"), ("e", "a", 7, "first"), (None, "a", 8, "x"), (None, "a", 9, "y")],
+                                 "event_id string, source_file_name string, record_index_in_file int, payload string")
+    got = ingest.drop_duplicate_events(rows.repartition(3))
+    assert got.columns == rows.columns and sorted(r.payload for r in got.collect()) == ["first", "x", "y"]
+
+
 def test_alert_stream(spark, tmp_path):
     source, path = tmp_path / "in", str(tmp_path / "out")
     _cases(spark, ["i1"]).select("incident_id").write.parquet(str(source))

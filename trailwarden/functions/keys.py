@@ -19,13 +19,17 @@ def phrase(column: Column, mapping: Mapping[str, str]) -> Column:
     return F.element_at(F.create_map(*pairs), F.coalesce(column, F.lit("")))
 
 
+def _after_first(column: Column) -> Column:
+    return F.substr(column, F.lit(2))
+
+
 def sentence_start(column: Column) -> Column:
-    return F.concat(F.upper(F.substring(column, 1, 1)), F.substring(column, 2, 1_000_000))
+    return F.concat(F.upper(F.substring(column, 1, 1)), _after_first(column))
 
 
 def python_capitalize(column: Column) -> Column:
     """First letter upper, everything else lower."""
-    return F.concat(F.upper(F.substring(column, 1, 1)), F.lower(F.substring(column, 2, 1_000_000)))
+    return F.concat(F.upper(F.substring(column, 1, 1)), F.lower(_after_first(column)))
 
 
 def zero_fill(value: Column, width: int) -> Column:

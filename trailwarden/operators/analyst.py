@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.rows import attach_row
 
 
-def actors_by_event_count(events: DataFrame, limit: int = 20) -> DataFrame:
+def _first(ordered: DataFrame, limit: int | None) -> DataFrame:
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def actors_by_event_count(events: DataFrame, limit: int | None = None) -> DataFrame:
     counts = events.groupBy("actor_key").agg(F.count("*").alias("event_count"))
-    return counts.orderBy(F.desc("event_count"), "actor_key").limit(limit)
+    return _first(counts.orderBy(F.desc("event_count"), "actor_key"), limit)
 
 
-def ips_by_failed_calls(events: DataFrame, limit: int = 20) -> DataFrame:
+def ips_by_failed_calls(events: DataFrame, limit: int | None = None) -> DataFrame:
     counts = events.where(F.col("is_error")).groupBy("source_ip_address").agg(F.count("*").alias("failed_calls"))
-    return counts.orderBy(F.desc("failed_calls"), F.asc_nulls_last("source_ip_address")).limit(limit)
+    return _first(counts.orderBy(F.desc("failed_calls"), F.asc_nulls_last("source_ip_address")), limit)
 
 
 def event_names_over_time(events: DataFrame, unit: str = "day") -> DataFrame:

@@ -64,16 +64,16 @@ def _per_shard(query_terms: DataFrame) -> DataFrame:
     return query_terms.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
 
 
-def tfidf_index(docs: DataFrame, doc_id: str, text: str, max_terms: int = 20_000) -> TfIdfIndex:
-    """L2-normalized tf-idf weights over the most frequent ``max_terms`` terms."""
+def tfidf_index(docs: DataFrame, doc_id: str, text: str, max_terms: int | None = None) -> TfIdfIndex:
+    """L2-normalized tf-idf weights of all terms, or of the most frequent ``max_terms`` if the caller asks for so many."""
     counts = term_counts(docs, doc_id, text)
     n_docs = docs.agg(F.count("*").alias("n")).scalar()
-    frequent = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(
-        F.desc("total"), "term").limit(max_terms)
+    frequent = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+    if max_terms is not None:
+        frequent = frequent.orderBy(F.desc("total"), "term").limit(max_terms)
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
     vocabulary = _with_shards(frequent.select("term", "df", idf.alias("idf")))
-    # the vocabulary never exceeds max_terms rows, whatever the corpus size
-    weighted = counts.join(F.broadcast(vocabulary), "term").select(
+    weighted = counts.join(vocabulary, "term").select(
         "doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"), "shards")
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
     postings = weighted.select(
@@ -92,7 +92,7 @@ def search(index: TfIdfIndex, queries: DataFrame, query_id: str, text: str, k: i
     split = distinct.select("query_text", tokens_of(F.col("query_text")).alias("tokens"))
     counts = split.select("query_text", F.explode(terms(F.col("tokens"))).alias("term")).groupBy(
         "query_text", "term").agg(F.count("*").alias("tf"))
-    weighted = counts.join(F.broadcast(index.vocabulary), "term").select(
+    weighted = counts.join(index.vocabulary, "term").select(
         "query_text", "term", (F.col("tf") * F.col("idf")).alias("w"), "shards")
     norms = weighted.groupBy("query_text").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     query_terms = _per_shard(weighted.join(norms, "query_text").select(

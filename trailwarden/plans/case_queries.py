@@ -42,7 +42,7 @@ _TERMS = """{name}_tok AS (SELECT id, unnest(toks) AS tok, generate_subscripts(t
 TFIDF = """d_src AS (SELECT doc_id AS id, text AS body FROM documents),
 """ + _TERMS.replace("{name}", "d") + """,
 vocab AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1.0 AS idf FROM (
-  SELECT term, sum(tf) AS total, count(*) AS df FROM d_terms GROUP BY term ORDER BY total DESC, term LIMIT 20000)),
+  SELECT term, sum(tf) AS total, count(*) AS df FROM d_terms GROUP BY term)),
 dw AS (SELECT id, term, tf * idf AS w FROM d_terms JOIN vocab USING (term)),
 idx AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM dw)"""
 
@@ -122,12 +122,13 @@ def keyword_and_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""SELECT c_custkey AS entry_id, c_name AS title, n_name AS domain FROM customer
-  LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey""")
+  LEFT JOIN nation ON n_nationkey = CASE WHEN c_nationkey % 5 <> 0 THEN c_nationkey END""")
 def entries_with_domain(spark: SparkSession, folder: str) -> DataFrame:
-    domains = read_table(spark, folder, "nation").where("n_nationkey < 20").select(
+    domains = read_table(spark, folder, "nation").select(
         F.col("n_nationkey").alias("domain_id"), F.col("n_name").alias("domain"))
     entries = read_table(spark, folder, "customer").select(
-        F.col("c_custkey").alias("entry_id"), F.col("c_name").alias("title"), F.col("c_nationkey").alias("domain_id"))
+        F.col("c_custkey").alias("entry_id"), F.col("c_name").alias("title"),
+        F.when(F.col("c_nationkey") % 5 != 0, F.col("c_nationkey")).alias("domain_id"))
     return retrieval.with_domain(entries, domains).select("entry_id", "title", "domain")
 
 
@@ -429,10 +430,10 @@ def upserted_cases(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""SELECT CAST(o_custkey AS VARCHAR) AS dedupe_key, min(o_orderkey) AS row_id FROM orders
-WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12) GROUP BY o_custkey""")
+WHERE o_custkey NOT IN (SELECT CASE WHEN c_nationkey % 2 = 0 THEN c_custkey ELSE -c_custkey END FROM customer) GROUP BY o_custkey""")
 def inserted_if_absent(spark: SparkSession, folder: str) -> DataFrame:
-    current = read_table(spark, folder, "customer").where("c_nationkey < 12").select(
-        F.col("c_custkey").cast("string").alias("dedupe_key"))
+    current = read_table(spark, folder, "customer").select(  # every other nation's customers have keys of their own
+        F.when(F.col("c_nationkey") % 2 == 0, F.col("c_custkey")).otherwise(-F.col("c_custkey")).cast("string").alias("dedupe_key"))
     incoming = _history(spark, folder).select("row_id", F.col("incident_id").alias("dedupe_key"))
     return casework.insert_if_absent(current, incoming, "dedupe_key").select("dedupe_key", "row_id")
 

@@ -144,12 +144,12 @@ def sliding_activity_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.select("activity_key", F.unix_micros("window_start").alias("window_start_us"), "event_count")
 
 
-@query("SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS event_id FROM lineitem")
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS event_id, min(l_linenumber) AS record_index_in_file FROM lineitem GROUP BY l_orderkey")
 def distinct_event_ids(spark: SparkSession, folder: str) -> DataFrame:
     items = read_table(spark, folder, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("event_id"), F.lit("f").alias("source_file_name"),
         F.col("l_linenumber").alias("record_index_in_file"))
-    return ingest.drop_duplicate_events(items).select("event_id")
+    return ingest.drop_duplicate_events(items).select("event_id", "record_index_in_file")
 
 
 # --- sanity slice ---------------------------------------------------------------------------

@@ -211,13 +211,13 @@ def event_schema_description(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- analyst queries -------------------------------------------------------------------
 @query(f"WITH {FEATURES} SELECT actor_key, count(*) AS event_count FROM feat GROUP BY actor_key "
-       "ORDER BY event_count DESC, actor_key LIMIT 20")
+       "ORDER BY event_count DESC, actor_key")
 def actors_by_event_count(spark: SparkSession, folder: str) -> DataFrame:
     return analyst.actors_by_event_count(stages.events_flat(spark, folder))
 
 
 @query(f"WITH {FEATURES} SELECT source_ip_address, count(*) AS failed_calls FROM feat WHERE is_error "
-       "GROUP BY source_ip_address ORDER BY failed_calls DESC, source_ip_address NULLS LAST LIMIT 20")
+       "GROUP BY source_ip_address ORDER BY failed_calls DESC, source_ip_address NULLS LAST")
 def ips_by_failed_calls(spark: SparkSession, folder: str) -> DataFrame:
     return analyst.ips_by_failed_calls(stages.events_flat(spark, folder))
 
@@ -253,13 +253,13 @@ def actors_from_recon_to_creation(spark: SparkSession, folder: str) -> DataFrame
 
 
 # --- metrics -----------------------------------------------------------------------------
-_SCORED = """SELECT toxic AS label, least(n_chars, 3000) // 100 / 30.0 AS score, quality AS prediction
+_SCORED = """SELECT toxic AS label, n_chars // 100 / 30.0 AS score, quality AS prediction
   FROM labels JOIN documents USING (doc_id)"""
 
 
 def _document_scores(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "n_chars")
-    score = F.floor(F.least(F.col("n_chars"), F.lit(3000)) / 100) / 30.0
+    score = F.floor(F.col("n_chars") / 100) / 30.0
     return read_table(spark, folder, "labels").join(docs, "doc_id").select(
         F.col("toxic").alias("label"), score.alias("score"), F.col("quality").alias("prediction"))
 

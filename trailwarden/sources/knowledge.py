@@ -22,8 +22,8 @@ def read_pattern_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def pattern_sections(docs: DataFrame) -> DataFrame:
     """Sections of (file, body) rows; a heading needs a line of its own to count."""
-    section = F.explode(F.slice(F.split("body", r"(?m)^##\s+"), 2, 1_000_000))
-    sections = docs.select("file", section.alias("section"), ).where(F.instr("section", "\n") > 0)
+    parts = docs.select("file", F.posexplode(F.split("body", r"(?m)^##\s+")).alias("pos", "section"))
+    sections = parts.where((F.col("pos") > 0) & (F.instr("section", "\n") > 0))
     title = F.btrim(F.substring_index("section", "\n", 1), F.lit(" \t\r"))
     body = F.expr("substring(section, instr(section, '\n') + 1)")
     return sections.select(

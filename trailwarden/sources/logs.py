@@ -12,7 +12,6 @@ import io
 import posixpath
 import tarfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -39,13 +38,20 @@ def read_log_files(spark: SparkSession, path: str, any_suffix: bool | None = Non
     """
     use_utc(spark)
     if any_suffix is None:
-        any_suffix = Path(path).is_file()
+        any_suffix = _is_file(spark, path)
     reader = spark.read.format("binaryFile")
     if not any_suffix:
         reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", SUFFIX_GLOB)
     return reader.load(path).select("path", "content").mapInPandas(_texts, TEXT_SCHEMA)
 
 
+def _is_file(spark: SparkSession, path: str) -> bool:
+    """Asked of the file system the path belongs to, which may be remote; a pattern is no file."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(place) and files.getFileStatus(place).isFile()
+
+
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [part.split()[0] for part in TEXT_SCHEMA.split(", ")]
     for batch in batches:

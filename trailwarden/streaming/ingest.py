@@ -49,7 +49,9 @@ def drop_duplicate_events(events: DataFrame, watermark: str = "1 hour") -> DataF
     if marked.isStreaming:
         marked = marked.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["_identity"])
     else:
-        marked = marked.dropDuplicates(["_identity"])
+        order = [c for c in ("event_time", "source_file_name", "record_index_in_file") if c in events.columns]
+        rows = marked.groupBy("_identity").agg(F.min_by(F.struct(*events.columns), F.struct(*order)).alias("_first"))
+        return rows.select("_first.*")
     return marked.drop("_identity")
 
 
