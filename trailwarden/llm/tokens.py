@@ -79,9 +79,9 @@ def library_encoder(path: str, with_space: bool) -> UnitEncoder:
                 batch = tokenizer.encode_batch(units, add_special_tokens=False)
                 return [np.array(e.ids, "<u4").tobytes() for e in batch]
             found: list[bytes] = []
-            for at in range(0, len(units), 5000):
-                part = units[at:at + 5000]
-                ids = np.array(tokenizer.encode(mark.join(part), add_special_tokens=False).ids, "<u4")
+            for at in range(0, len(units), 500):
+                joined = mark.join(units[at:at + 500])
+                ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
                 ends = np.flatnonzero(ids == special[mark])
                 body = ids.tobytes()
                 starts = [0, *(4 * (ends + 1)).tolist()]
