@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, list_column, text_slices
-from .tokens import WITH_SPACE, UnitEncoder
+from .tokens import SLICE_BYTES, UnitEncoder
 
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NO_PAIR = 1 << 62
@@ -144,7 +144,7 @@ def vocabulary(path: str) -> tuple[Vocabulary, UnitEncoder]:
     """One per Python worker."""
     if path not in _LOADED:
         vocab = Vocabulary(path)
-        _LOADED[path] = vocab, UnitEncoder(WITH_SPACE, vocab.encode_units)
+        _LOADED[path] = vocab, UnitEncoder(True, vocab.encode_units)
     return _LOADED[path]
 
 
@@ -153,7 +153,7 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         _, encoder = vocabulary(vocab_path)
-        for batch in (b for whole in batches for b in text_slices(whole)):
+        for batch in (b for whole in batches for b in text_slices(whole, limit=SLICE_BYTES)):
             parts = encoder(batch.column("text").to_pylist())
             offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts], dtype=np.int64)])
             values = np.frombuffer(b"".join(parts), "<i4")

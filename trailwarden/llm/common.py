@@ -64,10 +64,10 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[raw[0]:raw[-1]], raw - raw[0]
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about ``SLICE_BYTES`` of text."""
+def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``limit`` bytes of text."""
     offsets = text_bytes(batch.column(column))[1]
-    for a, b in slices(np.diff(offsets)):
+    for a, b in slices(np.diff(offsets), limit):
         yield batch.slice(a, b - a)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import id_text, list_column, text_slices
 from .token_files import crc32_of_ids
-from .tokens import library_encoder
+from .tokens import SLICE_BYTES, library_encoder
 
 SEQUENCE = 2048
 GROUP_DOCS = 2048
@@ -75,7 +75,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, sequence: int
     def run(batches):
         encoder = library_encoder(tokenizer_path, with_space)
         tail = np.array([end_id], "<u4").tobytes()
-        for batch in (b for whole in batches for b in text_slices(whole)):
+        for batch in (b for whole in batches for b in text_slices(whole, limit=SLICE_BYTES)):
             doc, copy, start, length, total, body = [], [], [], [], [], []
             encoded = encoder(batch.column("text").to_pylist())
             for doc_id, number, ids in zip(batch.column("doc_id").to_pylist(), batch.column("copy").to_pylist(), encoded):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import id_text, input_bytes, list_column, shuffle_parts, text_slices
-from .tokens import library_encoder
+from .tokens import SLICE_BYTES, library_encoder
 
 PART_BYTES = 128 << 20
 ORC_OPTIONS = {
@@ -51,7 +51,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, wi
         encoder = library_encoder(tokenizer_path, with_space)
         tail = np.array([end_id], "<u4").tobytes()
         before = 0
-        for batch in (b for whole in batches for b in text_slices(whole)):
+        for batch in (b for whole in batches for b in text_slices(whole, limit=SLICE_BYTES)):
             parts = [ids + tail for ids in encoder(batch.column("text").to_pylist())]
             sizes = np.array([len(p) // 4 for p in parts], np.int64)
             offsets = np.concatenate([[0], np.cumsum(sizes)])

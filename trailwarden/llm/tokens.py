@@ -1,13 +1,16 @@
 """Token ids of whole texts, by way of the distinct words of a task.
 
 A token never spans the place where white space begins, nor a letter followed
-by a mark, so a text is the concatenation of units ``white space + word``.  Every distinct unit is encoded
-once per task and kept; a text is then a join of known byte strings.  The kept
-units are dropped when they reach ``CACHE_UNITS``, which costs time only.
+by a mark, so a text is the concatenation of units ``white space + word``.  A text is
+first cut before every blank, and only pieces not met before are cut into units.
+Every distinct piece and unit is encoded once per task and kept; a text is then a
+join of known byte strings.  Kept strings are dropped when they reach
+``CACHE_UNITS``, which costs time only.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -20,37 +23,73 @@ _LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", "[.,!?;:|$%&#*]"
 _WORD = f"{_LETTERS}++(?={_MARKS}|{_WS}|\\Z)|{_NON_WS}++"
 WITH_SPACE = re.compile(f"{_WS}*+(?:{_WORD})|{_WS}+")
 WITHOUT_SPACE = re.compile(_WORD)
+# one word of letters that stay letters in lower case: a unit, and a single word to the tokenizers
+_ONE_WORD = "[A-Za-zÀ-ÖØ-öø-ÿĀ-įı-ɏА-яぁ-ゖァ-ヺ一-龥]++"
 CACHE_UNITS = 1 << 19
 CACHE_CHARS = 16 << 20
+SLICE_BYTES = 1 << 18  # of text per call: its pieces stay in a core's memory cache
 
 
 class UnitEncoder:
-    """Texts to little-endian unsigned 32-bit ids; ``encode_units`` encodes a list of distinct units.
+    """Texts to little-endian unsigned 32-bit ids.
 
-    Known units are held in two generations: when the younger is full the older
-    is dropped, and a unit met again moves to the younger.
+    ``encode_units`` encodes a list of distinct units, ``encode_words`` (if there is a
+    quicker way for them) a list of units that are one plain word each.
+    ``with_space`` tells whether white space belongs to the word after it or is
+    left out.  Known strings are held in two generations: when the younger is full
+    the older is dropped, and a string met again moves to the younger.
     """
 
-    def __init__(self, unit: re.Pattern, encode_units: Callable[[list[str]], list[bytes]]):
-        self.unit, self.encode_units = unit, encode_units
+    def __init__(self, with_space: bool, encode_units: Callable[[list[str]], list[bytes]],
+                 encode_words: Callable[[list[str]], list[bytes]] | None = None):
+        self.with_space = with_space
+        self.encode_units, self.encode_words = encode_units, encode_words or encode_units
+        self.unit = WITH_SPACE if with_space else WITHOUT_SPACE
+        self.one_word = re.compile(f" {_ONE_WORD}" if with_space else _ONE_WORD).fullmatch
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.chars = 0
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; the texts' new units are encoded together."""
-        cut = list(map(self.unit.findall, texts))
+    def cut(self, texts: list[str]) -> tuple[list[list[str]], set[str]]:
+        """Pieces of each text, and the distinct ones."""
+        if not self.with_space:
+            cut = [t.split(" ") for t in texts]
+            return cut, set().union(*cut)
+        cut = [self.unit.findall(t) if "\0" in t else t.replace(" ", "\0 ").split("\0") for t in texts]
+        distinct = set().union(*cut)
+        # a blank with white space on either side is no token edge: such texts are cut into units at once
+        loose = {p for p in distinct if p == " " or p[1:2].isspace()}
+        if loose:
+            cut = [c if loose.isdisjoint(c) else self.unit.findall(t) for t, c in zip(texts, cut)]
+            distinct = set().union(*cut)
+        return cut, distinct
+
+    def unknown(self, strings: set[str]) -> set[str]:
         known, older = self.known, self.older
-        new = {u for units in cut for u in units if u not in known}
-        if new and older:
+        new = {s for s in strings if s not in known}
+        if older:
             again = new & older.keys()
-            for u in again:
-                known[u] = older[u]
+            for s in again:
+                known[s] = older[s]
             new -= again
-        fresh = list(new)
-        self.chars += sum(map(len, fresh))
-        known.update(zip(fresh, self.encode_units(fresh)))
-        out = [b"".join(map(known.__getitem__, units)) for units in cut]
+        return new
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; the texts' new units are encoded together."""
+        cut, distinct = self.cut(texts)
+        known = self.known
+        new = self.unknown(distinct)
+        words = {p for p in new if self.one_word(p)}
+        inner = {p: self.unit.findall(p) for p in new - words}
+        units = self.unknown(set().union(*inner.values()) - words)
+        more = {u for u in units if self.one_word(u)}
+        for fresh, encode in ((list(words | more), self.encode_words), (list(units - more), self.encode_units)):
+            known.update(zip(fresh, encode(fresh)))
+            self.chars += sum(map(len, fresh))
+        for piece, found in inner.items():
+            known[piece] = b"".join(map(known.__getitem__, found))
+        self.chars += sum(map(len, inner))
+        out = [b"".join(map(known.__getitem__, c)) for c in cut]
         if len(known) > CACHE_UNITS or self.chars > CACHE_CHARS:
             self.known, self.older, self.chars = {}, known, 0
         return out
@@ -62,8 +101,9 @@ _LOADED: dict[tuple[str, bool], UnitEncoder] = {}
 def library_encoder(path: str, with_space: bool) -> UnitEncoder:
     """The tokenizers library's ids without added special tokens; one per Python worker.
 
-    Units are sent to the library as one text with a special token between them
-    (which always stands alone), and the ids are cut there again.
+    Units are sent to the library many at a time, as one text, and its ids are cut
+    again where a word begins or ends, as the tokens themselves show.  Units that are
+    not one plain word are parted by a special token (which always stands alone).
     """
     if (path, with_space) not in _LOADED:
         from tokenizers import Tokenizer
@@ -73,20 +113,37 @@ def library_encoder(path: str, with_space: bool) -> UnitEncoder:
         tokenizer.no_padding()
         special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items() if t.special}
         mark = next(iter(special), None)
-
-        def encode(units: list[str]) -> list[bytes]:
+        # the side on which a plain word shows its edge, and which ids show it
+        suffix = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix")
+        edge = np.zeros(1 + max(tokenizer.get_vocab().values()), bool)
+        for token, i in tokenizer.get_vocab().items():
+            edge[i] = token.endswith(suffix) if suffix else token.startswith("Ġ")
+
+        def ids_of(text: str) -> np.ndarray:
+            return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+        def alone(units: list[str]) -> list[bytes]:
+            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(units, add_special_tokens=False)]
+
+        def words(units: list[str]) -> list[bytes]:
+            ids = ids_of(("" if with_space else " ").join(units))
+            at = np.flatnonzero(edge[ids])
+            if len(at) != len(units):  # the vocabulary shows no edges
+                return alone(units)
+            cuts = [0, *(4 * (at + 1)).tolist()] if suffix else [*(4 * at).tolist(), 4 * len(ids)]
+            body = ids.tobytes()
+            return [body[a:b] for a, b in zip(cuts, cuts[1:])]
+
+        def parted(units: list[str]) -> list[bytes]:
             if mark is None or any(mark in u for u in units):
-                batch = tokenizer.encode_batch(units, add_special_tokens=False)
-                return [np.array(e.ids, "<u4").tobytes() for e in batch]
-            found: list[bytes] = []
-            for at in range(0, len(units), 500):
-                joined = mark.join(units[at:at + 500])
-                ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-                ends = np.flatnonzero(ids == special[mark])
-                body = ids.tobytes()
-                starts = [0, *(4 * (ends + 1)).tolist()]
-                found += [body[a:b] for a, b in zip(starts, [*(4 * ends).tolist(), len(body)])]
-            return found
-
-        _LOADED[path, with_space] = UnitEncoder(WITH_SPACE if with_space else WITHOUT_SPACE, encode)
+                return alone(units)
+            ids = ids_of(mark.join(units))
+            ends = (4 * np.flatnonzero(ids == special[mark])).tolist()
+            body = ids.tobytes()
+            return [body[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(body)])]
+
+        def by_lists(encode: Callable[[list[str]], list[bytes]]) -> Callable[[list[str]], list[bytes]]:
+            return lambda units: [ids for at in range(0, len(units), 500) for ids in encode(units[at:at + 500])]
+
+        _LOADED[path, with_space] = UnitEncoder(with_space, by_lists(parted), by_lists(words))
     return _LOADED[path, with_space]
