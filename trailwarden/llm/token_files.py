@@ -27,6 +27,7 @@ from .common import id_text, input_bytes, list_column, shuffle_parts, text_slice
 from .tokens import SLICE_BYTES, library_encoder
 
 PART_BYTES = 128 << 20
+SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 ORC_OPTIONS = {
     "compression": "zstd",
     "orc.encoding.strategy": "COMPRESSION",  # integer run-length encoding, version 2
@@ -57,8 +58,9 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, wi
             offsets = np.concatenate([[0], np.cumsum(sizes)])
             values = np.frombuffer(b"".join(parts), "<i4")
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("part"), pa.array(before + offsets[:-1]), list_column(values, offsets)],
-                ["doc_id", "part", "at", "ids"])
+                [batch.column("doc_id"), batch.column("part"), pa.array(before + offsets[:-1]), pa.array(sizes),
+                 list_column(values, offsets)],
+                ["doc_id", "part", "at", "n_tokens", "ids"])
             before += int(offsets[-1])
 
     texts = id_text(docs, id_col, text_col)
@@ -66,11 +68,11 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, wi
     order = ["doc_id", F.xxhash64("text")]
     parts = texts.repartitionByRange(n, *order).sortWithinPartitions("doc_id", "text")
     parts = parts.select("doc_id", "text", F.spark_partition_id().alias("part"))
-    rows = parts.mapInArrow(run, "doc_id long, part int, at long, ids array<int>")
+    rows = parts.mapInArrow(run, SCHEMA)
     rows.write.options(**ORC_OPTIONS).orc(f"{folder}/tokens")
     spark = docs.sparkSession
-    sizes = spark.read.orc(f"{folder}/tokens").select("part", (F.col("at") + F.size("ids")).alias("n"))
-    sizes.groupBy("part").agg(F.max("n").alias("n_tokens")).write.options(compression="zstd").orc(f"{folder}/parts")
+    sizes = spark.read.orc(f"{folder}/tokens").select("part", (F.col("at") + F.col("n_tokens")).alias("n"))  # ids are not read
+    sizes.groupBy("part").agg(F.max("n").alias("n")).write.options(compression="zstd").orc(f"{folder}/parts")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,12 +80,12 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     The table of part totals has one row per part file.
     """
-    tokens = spark.read.schema("doc_id long, part int, at long, ids array<int>").orc(f"{folder}/tokens")
-    totals = spark.read.schema("part int, n_tokens long").orc(f"{folder}/parts")
+    tokens = spark.read.schema(SCHEMA).orc(f"{folder}/tokens")
+    totals = spark.read.schema("part int, n long").orc(f"{folder}/parts")
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("part", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).alias("first"))
+    starts = totals.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
     return tokens.join(starts, "part").select(
-        "doc_id", (F.col("first") + F.col("at")).alias("start"), F.size("ids").cast("long").alias("n_tokens"), "ids")
+        "doc_id", (F.col("first") + F.col("at")).alias("start"), tokens["n_tokens"], "ids")
 
 
 def lookup(spark: SparkSession, folder: str, doc_ids: list[int]) -> DataFrame:
