@@ -171,3 +171,17 @@ def test_token_queries_keep_every_document(spark, sf_dir):
     for name in ("op7_bpe", "op9_token_files"):
         assert QUERIES[name](spark, sf_dir).count() == documents
     assert QUERIES["op4_packing"](spark, sf_dir).agg(F.countDistinct("doc_id")).first()[0] == documents
+
+
+@pytest.mark.parametrize("path,with_space", [(BYTE, True), (WORD, False)])
+def test_ids_of_odd_texts_equal_the_library(path, with_space):
+    """Runs of white space, control characters, several scripts, added tokens; later batches meet known pieces."""
+    pick = random.Random(3)
+    letters = " \n\t\r 　\u0085\x1c\x1f\x00'.,aBcéÉßİıǅſ́漢か9½²<|>_-"
+    longer = ["word", " the", "  ", "<|endoftext|>", "'s", "n't "]
+    texts = ["".join(pick.choice(letters) + (pick.choice(longer) if pick.random() < 0.3 else "")
+                     for _ in range(pick.randrange(30))) for _ in range(6000)]
+    encoder = tokens.library_encoder(path, with_space)
+    found = [ids for at in range(0, len(texts), 500) for ids in encoder(texts[at:at + 500])]
+    expected = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert found == [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in expected]
