@@ -225,6 +225,21 @@ def test_folding_and_exceptions():
     assert lexicon.features("a clown walks")[0] > 0 and lexicon.features("scummy")[0] > 0 and lexicon.features("fish")[0] == 0
 
 
+def test_exceptions_around_every_entry(spark):
+    ones = [f"what a clown you {w} are" for w in ("scumbag", "scummy")] * 12
+    zeros = ["the clown fish swims"] * 8 + ["a scumble glaze dries"] * 8 + [f"plain text number {i}" for i in range(250)]
+    rows = spark.createDataFrame([(t, 1) for t in ones] + [(t, 0) for t in zeros], "text string, label int")
+    lexicon = toxicity.fit(rows)
+    weights = lexicon.weights
+    assert weights[" clown "] > 0 and not {" clow", " clown"} & set(weights)  # one word is no reason for a stem
+    assert weights[" scum"] > 0 and weights[" scumbag "] > 0
+    assert weights[" clown fish "] < 0 and weights[" scumble glaze "] < 0
+    assert lexicon.features("a clown fish, a scumble glaze") == (0.0, 0.0)
+    once = lexicon.features("clown fish or clown")
+    assert once == pytest.approx((25 * weights[" clown "], np.log(2)))
+    assert lexicon.features("scumbag")[0] == pytest.approx(100 * weights[" scumbag "])  # the stem inside does not count again
+
+
 def test_training_sample_is_bounded_and_leaves_out_the_fold(spark):
     docs = documents(spark, [(i, f"text {i}") for i in range(200)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(4, 1)], "doc_id long, toxic int")

@@ -3,15 +3,18 @@
 Texts are folded (case, accents, look-alike letters, digits and signs that stand
 for letters inside a word), reduced to words between single spaces and matched
 by one Aho-Corasick automaton.  An entry is a whole word (`` word ``) or a word
-beginning (`` stem``) with a weight; an exception phrase is an entry whose weight
-takes back what the words inside it add.  The summed weight is divided by the
-number of words, and a logistic curve turns that density and the number of
-distinct entries met into a score.
+beginning (`` stem``) with a weight, and of the entries met at one word the
+longest counts; an exception phrase is an entry of negative weight that takes
+back whatever is met at the words inside it.  The summed weight is divided by
+the number of words, and a logistic curve turns that density and the number of
+distinct entries met (and not taken back) into a score.
 
 Weights and curve are learned from a sample of at most ``max_rows`` labelled
-rows: the weight is the smoothed log-odds of a term's document counts, and
-exception phrases are word pairs around an entry that are met in documents of
-label 0 only.
+rows: the weight is the smoothed log-odds of a term's document counts.  A stem
+is an entry only where several different words support it; of stems inside
+each other that the same words support, the longest stays.  Exception phrases
+are word pairs around a word that any entry matches which are met in documents
+of label 0 only.
 
 Defined results: a null or empty text has density 0 and gets the curve's score
 for it; without any usable label of both kinds the lexicon is empty and every
@@ -38,6 +41,7 @@ MAX_ROWS = 12_000
 STEMS = (4, 5, 6)
 MIN_DOCS = 5
 MIN_ODDS = 2.0
+SUPPORT_DOCS, SUPPORT_WORDS = 2, 2  # documents of label 1 that make a word support its stems, and words that make a stem
 MAX_ENTRIES = 20_000
 
 # letters of other scripts that look like Latin ones
@@ -73,7 +77,7 @@ def fold_text(text: str) -> str:
 
 def terms_of(folded: str) -> set[str]:
     words = set(folded.split())
-    stems = {f" {w[:n]}" for w in words for n in STEMS if len(w) > n}
+    stems = {f" {w[:n]}" for w in words for n in STEMS if len(w) >= n}
     return stems | {f" {w} " for w in words if len(w) > 2}
 
 
@@ -99,20 +103,28 @@ class Lexicon:
     def __getstate__(self):
         return {"weights": self.weights, "curve": self.curve, "_automaton": None}
 
+    def entry(self, word: str) -> str | None:
+        """The longest entry that is met at a folded word."""
+        for term in (f" {word} ", *(f" {word[:n]}" for n in reversed(STEMS) if n <= len(word))):
+            if self.weights.get(term, 0.0) > 0:
+                return term
+        return None
+
     def features(self, text: str) -> tuple[float, float]:
-        """Summed weight per hundred words (not below zero) and log of 1 + distinct entries met."""
+        """Summed weight per hundred words and log of 1 + distinct entries met, without those inside exception phrases."""
         if not self.weights or not text:
             return 0.0, 0.0
         folded = fold_text(text)
-        total, met = 0.0, set()
-        for _, (term, weight) in self.automaton().iter(folded):
-            total += weight
+        met, back = {}, set()
+        for end, (term, weight) in self.automaton().iter(folded):
+            start = end - len(term) + 1
             if weight > 0:
-                met.add(term)
+                met[start] = term, weight  # the longest at a word ends last
             else:
-                met.discard(term)
+                back.update(range(start, end))
+        held = [x for start, x in met.items() if start not in back]
         words = max(1, folded.count(" ") - 1)
-        return max(0.0, 100.0 * total / words), math.log1p(len(met))
+        return 100.0 * sum(weight for _, weight in held) / words, math.log1p(len({term for term, _ in held}))
 
     def score(self, density: np.ndarray, distinct: np.ndarray) -> np.ndarray:
         a, b, c = self.curve
@@ -135,14 +147,36 @@ def _term_counts(rows: DataFrame) -> DataFrame:
         F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
 
 
-def _exceptions(rows: DataFrame, words: set[str]) -> DataFrame:
-    """Word pairs around lexicon words, by label."""
+def _supported(found: DataFrame) -> DataFrame:
+    """``term, support``: stems, and how many of the found words begin with each, where several do."""
+    stems = F.explode(F.array(*[F.substring("term", 1, n + 1) for n in STEMS]))
+    words = found.where(F.col("term").endswith(" ")).select(stems.alias("term")).where(~F.col("term").endswith(" "))
+    return words.groupBy("term").agg(F.count("*").alias("support")).where(F.col("support") >= SUPPORT_WORDS)
+
+
+def _entries(weights: dict[str, float], support: dict[str, int]) -> dict[str, float]:
+    """Without the stems that no other words support than a longer stem."""
+    held, most = {}, {}  # most: the largest support of a longer stem that begins so
+    for term in sorted(weights, key=len, reverse=True):
+        stem = not term.endswith(" ")
+        if stem and most.get(term, 0) >= support[term]:
+            continue
+        held[term] = weights[term]
+        for n in STEMS if stem else ():
+            if n + 1 < len(term):
+                most[term[:n + 1]] = max(most.get(term[:n + 1], 0), support[term])
+    return held
+
+
+def _exceptions(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Word pairs around the words that an entry matches, by label."""
     def run(batches):
         for batch in (b for whole in batches for b in text_slices(whole)):
             ones, zeros = Counter(), Counter()
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
                 split = fold_text(text).split()
-                pairs = {f" {a} {b} " for a, b in zip(split, split[1:]) if a in words or b in words}
+                words = {w for w in set(split) if lexicon.entry(w)}
+                pairs = {f" {a} {b} " for a, b in zip(split, split[1:]) if a in words or b in words} if words else ()
                 (ones if label else zeros).update(pairs)
             terms = list(ones.keys() | zeros.keys())
             yield pa.RecordBatch.from_arrays(
@@ -162,25 +196,17 @@ def fit(training: DataFrame) -> Lexicon:
         return Lexicon()
     odds = F.log((F.col("ones") + 0.5) / (n1 + 1.0)) - F.log((F.col("zeros") + 0.5) / (n0 + 1.0))
     spread = F.sqrt(1 / (F.col("ones") + 0.5) + 1 / (F.col("zeros") + 0.5))
-    chosen = _term_counts(rows).where(F.col("ones") >= MIN_DOCS).withColumn("odds", odds).where(
-        (F.col("odds") >= MIN_ODDS) & (F.col("odds") / spread >= 3.0))
-    top = chosen.orderBy(F.col("odds").desc(), "term").limit(MAX_ENTRIES).select("term", "odds").collect()
-    weights = {r["term"]: float(r["odds"]) for r in top}
-    for term in sorted(weights, key=len, reverse=True):  # an entry inside a longer one counts once
-        bare = term.rstrip()
-        stems = [f" {bare.strip()[:n]}" for n in STEMS if len(bare.strip()) > n]
-        held = [weights[s] for s in stems if s in weights and s != term]
-        if held and weights[term] - max(held) < 1.0:
-            del weights[term]
-    words = {t.strip() for t in weights if t.endswith(" ")}
-    if words:
-        pairs = _exceptions(rows, words).where((F.col("zeros") >= MIN_DOCS) & (F.col("ones") == 0)).orderBy("term").limit(
-            MAX_ENTRIES).collect()
-        for r in pairs:
-            back = -sum(weights.get(f" {w} ", 0.0) for w in r["term"].split())
-            if back:
-                weights[r["term"]] = back
-    lexicon = Lexicon(weights)
+    found = staged(_term_counts(rows).where(F.col("ones") >= SUPPORT_DOCS).withColumn("odds", odds).where(
+        F.col("odds") >= MIN_ODDS), "toxicity-terms")
+    chosen = found.where((F.col("ones") >= MIN_DOCS) & (F.col("odds") / spread >= 3.0)).join(_supported(found), "term", "left").where(
+        F.col("term").endswith(" ") | F.col("support").isNotNull())
+    top = chosen.orderBy(F.col("odds").desc(), "term").limit(MAX_ENTRIES).select("term", "odds", "support").collect()
+    lexicon = Lexicon(_entries({r["term"]: float(r["odds"]) for r in top}, {r["term"]: r["support"] for r in top}))
+    if lexicon.weights:
+        pairs = _exceptions(rows, lexicon).where((F.col("zeros") >= MIN_DOCS) & (F.col("ones") == 0)).orderBy(
+            F.col("zeros").desc(), "term").limit(MAX_ENTRIES).collect()
+        back = {r["term"]: -sum(lexicon.weights.get(lexicon.entry(w), 0.0) for w in r["term"].split()) for r in pairs}
+        lexicon = Lexicon(lexicon.weights | back)
     lexicon.curve = _curve(rows, lexicon)
     return lexicon
 
