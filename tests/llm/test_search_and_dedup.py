@@ -247,6 +247,16 @@ def test_training_sample_is_bounded_and_leaves_out_the_fold(spark):
     assert len(rows) == 50 and all(r["f"] != 0 and r["doc_id"] != 4 for r in rows)
 
 
+def test_training_sample_holds_each_document_once(spark):
+    docs = documents(spark, [(1, f"copy {i % 3}") for i in range(400)] + [(i, f"text {i}") for i in range(2, 20)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    sample = lambda d: sorted(map(tuple, labelled.training_rows(d, labels, "toxic", 5, 9, 10).collect()))
+    assert len({r[0] for r in sample(docs)}) == len(sample(docs)) == 10
+    assert sample(docs) == sample(docs.orderBy(F.col("text").desc()).repartition(7))
+    every = labelled.training_rows(docs, labels, "toxic", 5, 9, 50).collect()
+    assert len(every) == 19 and {r["label"] for r in every if r["doc_id"] == 1} == {1}
+
+
 def test_pipeline_stages(spark, tmp_path):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
