@@ -60,8 +60,8 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     at = F.coalesce(F.col("_row.text").cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     rows = rows.withColumn("text_id", suffix_dedup.text_id(at))
-    _, left = suffix_dedup.dedup(docs)
-    kept = left.where("n_removed > 0").select("text_id", suffix_dedup.valid_text("kept").alias("_kept"))
+    _, left = suffix_dedup.dedup(docs, characters=True)
+    kept = left.where("n_removed > 0").select("text_id", F.col("kept").cast("string").alias("_kept"))
     joined = rows.join(kept, "text_id", "left")
     columns = [F.coalesce(F.col("_kept"), F.col("_row.text")).alias("text") if c == "text" else F.col(f"_row.`{c}`")
                for c in docs.columns]

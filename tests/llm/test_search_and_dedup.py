@@ -120,6 +120,15 @@ def test_suffix_dedup_of_an_empty_table(spark):
     assert suffix_dedup.digests(documents(spark, ROWS).limit(0)).count() == 0
 
 
+def test_cut_characters_go_and_the_rest_of_the_text_stays(spark):
+    # the repeated bytes begin with the end of é and ũ, and in the first two texts end with the beginning of é and è
+    same, more = ("".join(chr(97 + i * i % 23) + str(i + n) for i in range(120)) for n in (0, 500))
+    texts = ["own \ufffd start é" + same + "é own \ufffd end", "other ũ" + same + "è other end", "\ufffd one é" + more, "two ũ" + more]
+    docs = documents(spark, list(enumerate(texts)))
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_strings(spark, docs, "").collect()}
+    assert got == {0: "own \ufffd start  own \ufffd end", 1: "other  other end", 2: "\ufffd one ", 3: "two "}
+
+
 def test_prefix_classes_on_small_alphabets():
     rnd = random.Random(3)
     for _ in range(300):

@@ -307,8 +307,21 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     return covered.groupBy("text_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
-def cut(texts: DataFrame, spans: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``text_id, kept binary, n_bytes, n_removed, n_spans``: what is left of each text."""
+def whole_characters(text: bytes, a: int, b: int) -> tuple[int, int]:
+    """The range without the pieces of characters that begin before it or end after it."""
+    while 0 < a < b and text[a] & 0xC0 == 0x80:
+        a += 1
+    while a < b < len(text) and text[b] & 0xC0 == 0x80:
+        b -= 1
+    return a, b
+
+
+def cut(texts: DataFrame, spans: DataFrame, length: int = LENGTH, characters: bool = False) -> DataFrame:
+    """``text_id, kept binary, n_bytes, n_removed, n_spans``: what is left of each text.
+
+    With ``characters`` pieces of a character that an edge of a removed span
+    splits are left out of ``kept``; ``n_removed`` counts the spans only.
+    """
 
     def run(batches):
         for batch in batches:
@@ -325,10 +338,12 @@ def cut(texts: DataFrame, spans: DataFrame, length: int = LENGTH) -> DataFrame:
                     else:
                         merged.append([a, b])
                 edges = [0, *(x for m in merged for x in m), n]
-                kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                out["kept"].append(kept)
+                rest = list(zip(edges[::2], edges[1::2]))
                 out["n_bytes"].append(n)
-                out["n_removed"].append(n - len(kept))
+                out["n_removed"].append(n - sum(b - a for a, b in rest))
+                if characters:
+                    rest = [whole_characters(text, a, b) for a, b in rest]
+                out["kept"].append(b"".join(text[a:b] for a, b in rest))
                 out["n_spans"].append(len(merged))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("text_id"), pa.array(out["kept"], pa.binary()), pa.array(out["n_bytes"], pa.int64()),
@@ -343,18 +358,12 @@ def text_id(text: str | Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def valid_text(kept: str) -> Column:
-    """The bytes as text; a cut inside a character leaves pieces of it, which go (as does any U+FFFD of that text)."""
-    text = F.col(kept).cast("string")
-    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
-
-
 def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, block_bytes: int = BLOCK_BYTES,
-          id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+          id_col: str = "doc_id", text_col: str = "text", characters: bool = False) -> tuple[DataFrame, DataFrame]:
     """The documents' text digests (``doc_id, text_id``) and what is left of each different text (see ``cut``)."""
     rows = id_text(docs, id_col, text_col).withColumn("text_id", text_id("text"))
     texts = distinct_texts(rows)
-    return rows.select("doc_id", "text_id"), cut(texts, repeated_spans(texts, length, anchor, hot, block_bytes), length)
+    return rows.select("doc_id", "text_id"), cut(texts, repeated_spans(texts, length, anchor, hot, block_bytes), length, characters)
 
 
 def digests(docs: DataFrame) -> DataFrame:
