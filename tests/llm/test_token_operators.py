@@ -155,6 +155,21 @@ def test_templates_that_rewrite_history_are_detected(spark):
     assert not any(r["rewrites"] for r in chat.format_turns(rows).collect())
 
 
+def test_templates_that_rewrite_only_long_conversations_are_detected(spark):
+    def drops(turns):
+        return chat.chatml(turns if len(turns) <= 60 else turns[1:])
+
+    def looks_back(turns):
+        return "".join(f"[{turns[max(0, i - 40)][1][:3]}]{r}:{t}\n" for i, (r, t) in enumerate(turns))
+
+    rows = conversations(spark, [(c, i, "assistant", f"{i:03d}") for c, n in ((1, 100), (2, 40), (3, 63), (None, 90), (4, 2)) for i in range(n)])
+    for template, kept in ((drops, {2, 4}), (looks_back, {4})):
+        got = chat.format_turns(rows, template).collect()
+        assert len(got) == 295
+        for r in got:
+            assert (r["rewrites"], r["in_loss"], r["text_start"] is None) == ((False, True, False) if r["conv_id"] in kept else (True, False, True))
+
+
 def test_escaping_is_reversible():
     rnd = random.Random(1)
     parts = ["<", "|", "im_start", "|>", "im_end", chat.ESCAPE, chat.END, chat.START, "a"]

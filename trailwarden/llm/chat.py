@@ -8,13 +8,16 @@ template rewrites history; such a conversation is flagged and gets no spans.
 Where the text lies inside its span is found the same way, by rendering the last
 turn with two different one-character probes in place of its text.
 
-A conversation may hold any share of all rows, so it is never gathered: turns
-are sorted and streamed, prefixes are rendered in blocks of ``block`` turns, and
-each block begins with the ``context`` turns before it (what a template may look
-back at).  The first block of every conversation is rendered from its true
+Turns are sorted and streamed, prefixes are rendered in blocks of ``block`` turns,
+and each block begins with the ``context`` turns before it (what a template may
+look back at).  The first block of every conversation is rendered from its true
 start, and every block's end is rendered again with twice the context; a
-difference counts as rewritten history, too.  Output is one row per turn, so
-neither a row nor a task holds a whole conversation.
+difference counts as rewritten history, too.  Templates that change only in longer
+conversations are found by rendering the whole prefix after 2, 4, 8 ... blocks and
+at the end, which must equal the segments so far; a change at a length between
+these that is gone at the next of them is not seen.  For that a task keeps the
+turns of the conversation it is at; output is one row per turn.  The flag of a
+conversation reaches all of its turns by a join after the pass.
 
 Control strings inside texts are escaped reversibly: an escape character is
 inserted after the first character of each, and before each escape character.
@@ -34,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 START, END = "<|im_start|>", "<|im_end|>"
 ESCAPE = "␛"
 PROBES = ("", "")
@@ -112,30 +117,62 @@ def format_turns(rows: DataFrame, render: Callable[[list[Turn]], str] = chatml,
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     placed = chosen.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
+    names = ("conv_id", "position", "role", "segment", "text_start", "text_end", "in_loss", "rewrites")
+
+    def fresh(conv):
+        return {"conv": conv, "position": 0, "before": [], "deep": [], "bad": False,
+                "turns": [], "read": hashlib.sha256(), "checked": 0}
+
+    def rows_of(out):
+        return pa.RecordBatch.from_arrays([
+            pa.array(out["conv_id"], pa.int64()), pa.array(out["position"], pa.int64()),
+            pa.array(out["role"], pa.string()), pa.array(out["segment"], pa.string()),
+            pa.array(out["text_start"], pa.int64()), pa.array(out["text_end"], pa.int64()),
+            pa.array(out["in_loss"], pa.bool_()), pa.array(out["rewrites"], pa.bool_())], list(out))
+
+    def end(state, out):
+        """A row without position where the whole conversation reads otherwise than its segments."""
+        if not state["bad"] and state["position"] > state["checked"] and _changed(render, state):
+            for k in names:
+                out[k].append({"conv_id": state["conv"][0], "rewrites": True}.get(k))
+
     def run(batches):
-        state = {"conv": (), "position": 0, "before": [], "deep": [], "bad": False}
+        state = fresh(())
         for batch in batches:
-            out = {k: [] for k in ("conv_id", "position", "role", "segment", "text_start", "text_end", "in_loss", "rewrites")}
+            out = {k: [] for k in names}
             ids = batch.column("conv_id").to_pylist()
             turns = list(zip(batch.column("role").to_pylist(), batch.column("text").to_pylist()))
             at = 0
             while at < len(ids):
                 if state["conv"] != (ids[at],):
-                    state = {"conv": (ids[at],), "position": 0, "before": [], "deep": [], "bad": False}
+                    end(state, out)
+                    state = fresh((ids[at],))
                 stop = at
                 while stop < len(ids) and stop - at < block and ids[stop] == ids[at]:
                     stop += 1
                 _block(render, context, state, turns[at:stop], ids[at], loss_role, out)
                 at = stop
-            yield pa.RecordBatch.from_arrays([
-                pa.array(out["conv_id"], pa.int64()), pa.array(out["position"], pa.int64()),
-                pa.array(out["role"], pa.string()), pa.array(out["segment"], pa.string()),
-                pa.array(out["text_start"], pa.int64()), pa.array(out["text_end"], pa.int64()),
-                pa.array(out["in_loss"], pa.bool_()), pa.array(out["rewrites"], pa.bool_())], list(out))
+            yield rows_of(out)
+        out = {k: [] for k in names}
+        end(state, out)
+        yield rows_of(out)
 
-    return placed.mapInArrow(
+    passed = staged(placed.mapInArrow(
         run, "conv_id long, position long, role string, segment string, text_start long, text_end long, "
-             "in_loss boolean, rewrites boolean")
+             "in_loss boolean, rewrites boolean"), "chat-turns")
+    turns = passed.where("position is not null")
+    changed = passed.where("rewrites").select(F.col("conv_id").alias("_conv"), F.lit(True).alias("_changed")).distinct()
+    if changed.isEmpty():
+        return turns
+    joined = turns.join(changed, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    kept = F.col("_changed").isNull()
+    return joined.select("conv_id", "position", "role", "segment", F.when(kept, F.col("text_start")).alias("text_start"),
+                         F.when(kept, F.col("text_end")).alias("text_end"), (F.col("in_loss") & kept).alias("in_loss"),
+                         (~kept).alias("rewrites"))
+
+
+def _changed(render, state) -> bool:
+    return hashlib.sha256(render(state["turns"]).encode()).digest() != state["read"].digest()
 
 
 def _block(render, context, state, turns, conv_id, loss_role, out) -> None:
@@ -148,6 +185,16 @@ def _block(render, context, state, turns, conv_id, loss_role, out) -> None:
         if not whole.startswith(base) or whole[len(base):] != "".join(s for s, _, _ in spans):
             spans = None
     state["bad"] |= spans is None
+    if not state["bad"]:
+        state["turns"] += turns
+        state["read"].update("".join(s for s, _, _ in spans).encode())
+        if not state["position"]:
+            state["checked"] = len(turns)  # rendered from the start
+        elif state["position"] + len(turns) >= 2 * state["checked"]:
+            state["checked"] = state["position"] + len(turns)
+            state["bad"] = _changed(render, state)
+    if state["bad"]:
+        state["turns"] = []
     for i, (role, text) in enumerate(turns):
         segment, first, last = spans[i] if spans is not None else (render([(role, text)]), None, None)
         out["conv_id"].append(conv_id)
