@@ -201,6 +201,25 @@ def test_recall_on_the_table(spark):
     assert hits >= 0.9 * total
 
 
+@pytest.mark.parametrize("noise", [0.1, 0.5, 1.0])
+def test_recall_on_full_shards(spark, noise):
+    table = np.stack(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").toPandas()["embedding"]).astype(float)
+    rnd = np.random.default_rng(8)
+    m = table[np.arange(3 * neighbours.SHARD_VECTORS) % len(table)]
+    m = (m + noise * table.std() * rnd.normal(size=m.shape)).astype("float32")
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "vec_id long, embedding array<float>")
+    got = neighbours.nearest(rows, rows.where("vec_id % 50 = 0"), 5).groupBy("query_id").agg(F.collect_set("vec_id").alias("v")).collect()
+    m = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    hits = 0
+    for r in got:
+        s = m @ m[r["query_id"]]
+        s[r["query_id"]] = -9
+        hits += len(set(np.argsort(-s)[:5].tolist()) & set(r["v"]))
+    assert len(got) == -(-len(m) // 50)
+    print(f"recall@5 of {len(got)} queries over {len(m)} vectors, noise {noise}: {hits / (5 * len(got)):.4f}")
+    assert hits >= 0.9 * 5 * len(got)
+
+
 def accuracy(rows, label):
     rows = rows[rows["held_out"] & rows[label].notna()]
     return [(rows[rows[label] == x]["predicted"] == x).mean() for x in (0, 1)]
