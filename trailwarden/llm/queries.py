@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staging_root
-from . import bpe, chat, jaccard, neighbours, packing, quality, suffix_dedup, token_files, topk, toxicity
+from . import bpe, chat, jaccard, lexical, neighbours, packing, quality, suffix_dedup, token_files, topk, toxicity
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -70,6 +70,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(spark.read.parquet(folder))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_neighbours": op2_neighbours,
@@ -81,6 +85,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
     "op10_chat": op10_chat,
+    "op11_lexical_search": op11_lexical_search,
 }
 
 # every candidate of every query: floor of the components, inner product, rank
@@ -121,4 +126,38 @@ SQL = {
                CAST(sum(chars) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id
     """,
+    "op11_lexical_search": """
+        WITH terms AS (
+            SELECT doc_id, row_number() OVER () AS doc, regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t
+            FROM documents
+        ), wanted AS (
+            SELECT item_id, term, count(*) AS c
+            FROM (SELECT item_id, unnest(regexp_extract_all(
+                      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+                  FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL))
+            GROUP BY item_id, term
+        ), held AS (
+            SELECT doc, term, count(*) AS tf
+            FROM (SELECT doc, unnest(t) AS term FROM terms) GROUP BY doc, term
+        ), total AS (
+            SELECT count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM terms WHERE len(t) > 0
+        ), norm AS (
+            SELECT doc, doc_id, 75 + ((25 * len(t) * n_docs) // n_terms) AS m FROM terms, total WHERE len(t) > 0
+        ), weight AS (
+            SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+            FROM (SELECT term, count(*) AS df FROM held GROUP BY term), total
+        ), scored AS (
+            SELECT item_id, doc, any_value(doc_id) AS doc_id,
+                   CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+            FROM wanted JOIN held USING (term) JOIN weight USING (term) JOIN norm USING (doc)
+            GROUP BY item_id, doc
+        )
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+               doc_id, score
+        FROM scored WHERE score > 0
+        QUALIFY rank <= 20
+    """,
 }
