@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staging_root
-from . import bpe, chat, jaccard, lexical, neighbours, packing, quality, suffix_dedup, token_files, topk, toxicity
+from . import bpe, chat, hard_negatives, jaccard, lexical, neighbours, packing, quality, suffix_dedup, token_files, topk, toxicity
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -74,6 +74,12 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_neighbours": op2_neighbours,
@@ -86,6 +92,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_chat": op10_chat,
     "op11_lexical_search": op11_lexical_search,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 # every candidate of every query: floor of the components, inner product, rank
@@ -160,4 +167,27 @@ SQL = {
         FROM scored WHERE score > 0
         QUALIFY rank <= 20
     """,
+    "op12_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY 2, 3) = 1
+        ), scored AS (
+            SELECT a.vec_id AS anchor_id, v.vec_id, v.label = a.label AS same,
+                   CAST(list_dot_product(a.e, v.e) AS BIGINT) AS score
+            FROM v AS a JOIN v ON a.vec_id <> v.vec_id AND len(a.e) = len(v.e) WHERE a.vec_id % 100 = 0
+        ), positive AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (
+                   PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+               vec_id AS negative_id, positive_score, score AS negative_score
+        FROM positive JOIN scored USING (anchor_id)
+        WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY rank <= 10
+    """,
 }
