@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staging_root
-from . import bpe, chat, hard_negatives, jaccard, lexical, neighbours, packing, quality, suffix_dedup, token_files, topk, toxicity
+from . import bpe, chat, hard_negatives, jaccard, lexical, neighbours, packing, pii, quality, suffix_dedup, token_files, topk, toxicity
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -80,6 +80,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.digests(pii.find(docs, pii.learn(docs)))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_neighbours": op2_neighbours,
@@ -93,6 +98,7 @@ QUERIES = {
     "op10_chat": op10_chat,
     "op11_lexical_search": op11_lexical_search,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_pii": op13_pii,
 }
 
 # every candidate of every query: floor of the components, inner product, rank
