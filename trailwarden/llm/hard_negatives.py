@@ -42,7 +42,7 @@ GROUP_ANCHORS = 1024
 CURVE_DIMS, CURVE_BITS = 12, 5
 EXACT_FLOAT = 2.0 ** 52
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
-BLOCK_SCHEMA = ("shard int, block int, dim int, label long, n int, least array<double>, greatest array<double>, "
+BLOCK_SCHEMA = ("shard int, block long, dim int, label long, n int, least array<double>, greatest array<double>, "
                 "ids array<long>, v array<double>")
 
 
@@ -188,7 +188,10 @@ def build_blocks(rows: DataFrame, shard_vectors: int = SHARD_VECTORS, block_vect
     shards = max(1, -(-rows.count() // shard_vectors))
     order = ["dim", "label", "curve", "vec_id"]
     dealt = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).withColumn("shard", F.spark_partition_id())
-    return staged(dealt.mapInArrow(run, BLOCK_SCHEMA), "negatives-blocks")
+    blocks = staged(dealt.mapInArrow(run, BLOCK_SCHEMA), "negatives-blocks")
+    # Spark may have dealt more parts than asked for: neighbouring parts are one shard then
+    parts = 1 + blocks.agg(F.coalesce(F.max("shard"), F.lit(0))).first()[0]
+    return blocks.withColumn("shard", F.floor(F.col("shard") * shards / parts).cast("int"))
 
 
 def _block(shard: int, block: int, rows: pa.Table) -> pa.RecordBatch:
@@ -197,7 +200,7 @@ def _block(shard: int, block: int, rows: pa.Table) -> pa.RecordBatch:
     m = flat.reshape(-1, dim)
     one = np.array([0, len(m)])
     lists = [list_column(x, np.array([0, len(x)])) for x in (m.min(axis=0), m.max(axis=0), rows.column("vec_id").to_numpy(), flat)]
-    plain = [pa.array([x], t) for x, t in ((shard, pa.int32()), (block, pa.int32()), (dim, pa.int32()),
+    plain = [pa.array([x], t) for x, t in ((shard, pa.int32()), ((shard << 32) + block, pa.int64()), (dim, pa.int32()),
                                           (rows.column("label")[0].as_py(), pa.int64()), (int(one[1]), pa.int32()))]
     return pa.RecordBatch.from_arrays(plain + lists, ["shard", "block", "dim", "label", "n", "least", "greatest", "ids", "v"])
 
@@ -243,7 +246,7 @@ def choose_blocks(blocks: DataFrame, asks: DataFrame, same: bool, best_only: boo
     left = zones.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(last[1]))))
     right = asks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last[0]))))
     chosen = left.groupBy("grp", "shard").cogroup(right.groupBy("grp", "shard")).applyInPandas(
-        run, "grp int, shard int, block int, who array<long>, bound array<double>")
+        run, "grp int, shard int, block long, who array<long>, bound array<double>")
     if not best_only:
         return chosen.drop("bound")
     each = chosen.select("grp", "shard", "block", F.explode(F.arrays_zip("who", "bound")).alias("w"))
