@@ -92,11 +92,11 @@ def _tfidf(docs, query):
     return {i: round(sum(q.get(g, 0) * v for g, v in vec(b).items()), 6) for i, b in bags.items()}
 
 
-@pytest.mark.parametrize("per_shard", [1, 20_000])
-def test_search_matches_plain_cosine(spark, monkeypatch, per_shard):
-    monkeypatch.setattr(retrieval, "POSTINGS_PER_SHARD", per_shard)
+@pytest.mark.parametrize("block_docs,stored", [(1, False), (128, False), (2, True)])
+def test_search_matches_plain_cosine(spark, block_docs, stored):
     docs = spark.createDataFrame(DOCS, "id long, body string")
-    index = retrieval.tfidf_index(docs, "id", "body")
+    index = retrieval.tfidf_index(docs, "id", "body", block_docs=block_docs)
+    index = retrieval.stored_index(index) if stored else index
     queries = spark.createDataFrame([(1, "root-login"), (2, "root login"), (3, "!!"), (4, "nothing known")], "q long, text string")
     hits = retrieval.search(index, queries, "q", "text", k=2).orderBy("query_id", "hit_rank").collect()
     want = sorted(((s, i) for i, s in _tfidf(DOCS, "root login").items() if s > 0), key=lambda x: (-x[0], x[1]))[:2]

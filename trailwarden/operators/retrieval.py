@@ -1,8 +1,8 @@
 """Knowledge-base search: a TF-IDF index and keyword AND search, many queries at once.
 
-Postings are joined to query terms by term.  How many documents hold a term is
-known from the vocabulary, so frequent terms are spread over several join keys
-(``shards``) instead of landing in one task.
+Both keep their postings in blocks of documents and are evaluated block by block
+(``block_search``): texts are placed by block once, and no (query, document) pair is
+shuffled before every task has cut its hits to the best of each query.
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..rules import PATTERN_QUERY_PHRASES, PATTERN_TITLES
+from ..session import materialize
+from . import block_search
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
-POSTINGS_PER_SHARD = 20_000
-KEYWORD_SHARDS = 32
 
 
 def tokens_of(text: Column) -> Column:
@@ -34,51 +34,46 @@ def terms(tokens: Column) -> Column:
     return F.concat(tokens, pairs)
 
 
-def term_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Term frequencies per document.
+def _placed(docs: DataFrame, doc_id: str, text: str, blocks: int) -> DataFrame:
+    """Texts placed by block; what is derived per document or block stays in that placement."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"))
+    return rows.withColumn("block", block_search.block_of("doc_id", blocks)).repartition("block")
 
-    Texts are placed by document once; counting, norms and weights of a document
-    then stay in that placement, and the longer list of terms is never shuffled.
-    """
-    placed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body")).repartition("doc_id")
-    split = placed.select("doc_id", tokens_of(F.col("body")).alias("tokens"))
-    return split.select("doc_id", F.explode(terms(F.col("tokens"))).alias("term")).groupBy(
-        "doc_id", "term").agg(F.count("*").alias("tf"))
+
+def term_counts(docs: DataFrame, doc_id: str, text: str, blocks: int = 1) -> DataFrame:
+    """Term frequencies per document; the longer list of terms is never shuffled."""
+    split = _placed(docs, doc_id, text, blocks).select("block", "doc_id", tokens_of(F.col("body")).alias("tokens"))
+    return split.select("block", "doc_id", F.explode(terms(F.col("tokens"))).alias("term")).groupBy(
+        "block", "doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 @dataclass(frozen=True)
 class TfIdfIndex:
-    postings: DataFrame  # doc_id, term, weight, shard
-    vocabulary: DataFrame  # term, idf, shards
-
-
-def _with_shards(vocabulary: DataFrame) -> DataFrame:
-    return vocabulary.withColumn("shards", F.ceil(F.col("df") / POSTINGS_PER_SHARD))
-
-
-def _shard_of(doc_id: str) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.col("shards"))
+    postings: DataFrame  # block, doc_id, term, weight
+    vocabulary: DataFrame  # term, df, idf
+    blocks: DataFrame | None = None  # written block rows, if the index is kept for several searches
 
 
-def _per_shard(query_terms: DataFrame) -> DataFrame:
-    return query_terms.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
-
-
-def tfidf_index(docs: DataFrame, doc_id: str, text: str, max_terms: int | None = None) -> TfIdfIndex:
+def tfidf_index(docs: DataFrame, doc_id: str, text: str, max_terms: int | None = None,
+                block_docs: int = block_search.BLOCK_DOCS) -> TfIdfIndex:
     """L2-normalized tf-idf weights of all terms, or of the most frequent ``max_terms`` if the caller asks for so many."""
-    counts = term_counts(docs, doc_id, text)
-    n_docs = docs.agg(F.count("*").alias("n")).scalar()
+    n_docs = docs.count()
+    counts = term_counts(docs, doc_id, text, max(1, -(-n_docs // block_docs)))
     frequent = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     if max_terms is not None:
         frequent = frequent.orderBy(F.desc("total"), "term").limit(max_terms)
-    idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
-    vocabulary = _with_shards(frequent.select("term", "df", idf.alias("idf")))
+    idf = F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
+    vocabulary = frequent.select("term", "df", idf.alias("idf"))
     weighted = counts.join(vocabulary, "term").select(
-        "doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"), "shards")
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    postings = weighted.select(
-        "doc_id", "term", (F.col("w") / norm).alias("weight"), _shard_of("doc_id").alias("shard"))
-    return TfIdfIndex(postings, vocabulary)
+        "block", "doc_id", "term", (F.col("tf") * F.col("idf")).alias("w")).repartition("block")
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("block", "doc_id")))
+    return TfIdfIndex(weighted.select("block", "doc_id", "term", (F.col("w") / norm).alias("weight")), vocabulary)
+
+
+def stored_index(index: TfIdfIndex) -> TfIdfIndex:
+    """The index written as block rows once, for any number of searches."""
+    return TfIdfIndex(index.postings, materialize(index.vocabulary, "search-vocabulary"),
+                      materialize(block_search.block_rows(index.postings), "search-blocks"))
 
 
 def clean_query(text: Column) -> Column:
@@ -92,17 +87,14 @@ def search(index: TfIdfIndex, queries: DataFrame, query_id: str, text: str, k: i
     split = distinct.select("query_text", tokens_of(F.col("query_text")).alias("tokens"))
     counts = split.select("query_text", F.explode(terms(F.col("tokens"))).alias("term")).groupBy(
         "query_text", "term").agg(F.count("*").alias("tf"))
-    weighted = counts.join(index.vocabulary, "term").select(
-        "query_text", "term", (F.col("tf") * F.col("idf")).alias("w"), "shards")
-    norms = weighted.groupBy("query_text").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    query_terms = _per_shard(weighted.join(norms, "query_text").select(
-        "query_text", "term", (F.col("w") / F.col("norm")).alias("qw"), "shards"))
-    scores = query_terms.join(index.postings, ["term", "shard"]).groupBy("query_text", "doc_id").agg(
-        F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score"))
-    best = Window.partitionBy("query_text").orderBy(F.desc("score"), "doc_id")
-    hits = scores.where(F.col("score") > 0).withColumn("hit_rank", F.row_number().over(best)).where(
-        F.col("hit_rank") <= k)
-    return cleaned.join(hits, "query_text").select(
+    weighted = counts.join(index.vocabulary, "term").select("query_text", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_text")))
+    asked = materialize(weighted.select(F.col("query_text").alias("query"), "term", (F.col("w") / norm).alias("weight")), "search-asked")
+    blocks = index.blocks
+    if blocks is None:  # one search: only the terms that are asked for
+        blocks = block_search.block_rows(index.postings.join(asked.select("term").distinct(), "term", "left_semi"))
+    hits = block_search.top_documents(blocks, asked, k)
+    return cleaned.join(hits, F.col("query_text") == F.col("query")).select(
         "query_id", "doc_id", "score", F.col("hit_rank").cast("long").alias("hit_rank"))
 
 
@@ -169,33 +161,19 @@ def and_search(
 ) -> DataFrame:
     """Documents holding every keyword, ranked by the summed log term frequency.
 
-    Candidates come from each query's rarest keyword only; the other keywords
-    are then looked up by (term, document), a key without hot values.  Tokens
-    match exactly: there is no stemming.
+    A block of documents is opened for a query only if it holds all its keywords and
+    the largest frequencies in it can reach the query's hits so far.  Tokens match
+    exactly: there is no stemming.
     """
-    wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(F.flatten(F.transform(
+    asked = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(F.flatten(F.transform(
         F.col(keywords), lambda word: F.regexp_extract_all(F.lower(word), F.lit(TOKEN), F.lit(0)))))).alias("term"))
-    token = F.explode(tokens_of(F.col("body")))
-    placed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body")).repartition("doc_id")
-    postings = placed.select("doc_id", token.alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    postings = postings.join(wanted.select("term").distinct(), "term", "left_semi").select("doc_id", "term", "tf")
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-    wanted = wanted.join(frequency, "term", "left").fillna(0, subset=["df"])
-    plan = wanted.groupBy("query_id").agg(
-        F.count("*").alias("n_terms"), F.min("df").alias("least"),
-        F.min_by("term", F.struct("df", "term")).alias("term"))
-    # a keyword no document holds empties the query
-    rare = plan.where(F.col("least") > 0).select("query_id", "n_terms", "term", F.explode(
-        F.sequence(F.lit(0).cast("long"), F.lit(KEYWORD_SHARDS - 1).cast("long"))).alias("shard"))
-    sharded = postings.select("doc_id", "term", F.pmod(F.xxhash64("doc_id"), F.lit(KEYWORD_SHARDS)).alias("shard"))
-    candidates = rare.join(sharded, ["term", "shard"]).select("query_id", "n_terms", "doc_id")
-    checks = candidates.join(wanted.select("query_id", "term"), "query_id")
-    matched = checks.join(postings, ["doc_id", "term"]).groupBy("query_id", "doc_id", "n_terms").agg(
-        F.count("*").alias("found"), F.round(F.sum(F.log(1.0 + F.col("tf"))), 6).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return matched.where(F.col("found") == F.col("n_terms")).withColumn(
-        "hit_rank", F.row_number().over(best)).where(F.col("hit_rank") <= limit).select(
-        "query_id", "doc_id", "score", F.col("hit_rank").cast("long").alias("hit_rank"))
+    asked = materialize(asked.distinct().withColumn("weight", F.lit(1.0)), "search-asked")
+    placed = _placed(docs, doc_id, text, block_search.block_count(docs))
+    tokens = placed.select("block", "doc_id", F.explode(tokens_of(F.col("body"))).alias("term"))
+    counts = tokens.join(asked.select("term").distinct(), "term", "left_semi").groupBy("block", "doc_id", "term").agg(F.count("*").alias("tf"))
+    blocks = block_search.block_rows(counts.select("block", "doc_id", "term", F.log(1.0 + F.col("tf")).alias("weight")))
+    return block_search.top_documents(blocks, asked, limit, every_term=True).select(
+        F.col("query").alias("query_id"), "doc_id", "score", F.col("hit_rank").cast("long").alias("hit_rank"))
 
 
 def with_domain(entries: DataFrame, domains: DataFrame, on: str = "domain_id") -> DataFrame:
