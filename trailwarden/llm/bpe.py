@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, list_column, text_slices
-from .tokens import SLICE_BYTES, UnitEncoder
+from .tokens import SLICE_BYTES, PieceEncoder, by_units
 
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NO_PAIR = 1 << 62
@@ -130,21 +130,18 @@ class Vocabulary:
                 ids += self.merge(word.encode("utf-8"))
         return ids
 
-    def encode_units(self, units: list[str]) -> list[bytes]:
-        return [np.array(self.encode(u), "<u4").tobytes() for u in units]
-
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-_LOADED: dict[str, tuple[Vocabulary, UnitEncoder]] = {}
+_LOADED: dict[str, tuple[Vocabulary, PieceEncoder]] = {}
 
 
-def vocabulary(path: str) -> tuple[Vocabulary, UnitEncoder]:
+def vocabulary(path: str) -> tuple[Vocabulary, PieceEncoder]:
     """One per Python worker."""
     if path not in _LOADED:
         vocab = Vocabulary(path)
-        _LOADED[path] = vocab, UnitEncoder(True, vocab.encode_units)
+        _LOADED[path] = vocab, PieceEncoder(True, by_units(vocab.encode), vocab.added)
     return _LOADED[path]
 
 
@@ -154,10 +151,8 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         _, encoder = vocabulary(vocab_path)
         for batch in (b for whole in batches for b in text_slices(whole, limit=SLICE_BYTES)):
-            parts = encoder(batch.column("text").to_pylist())
-            offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts], dtype=np.int64)])
-            values = np.frombuffer(b"".join(parts), "<i4")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), list_column(values, offsets)], ["doc_id", "ids"])
+            flat, offsets = encoder.encode(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), list_column(flat.view("<i4"), offsets)], ["doc_id", "ids"])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import id_text, input_bytes, list_column, shuffle_parts, text_slices
-from .tokens import SLICE_BYTES, library_encoder
+from .tokens import SLICE_BYTES, library_encoder, with_end
 
 PART_BYTES = 128 << 20
 SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
@@ -50,16 +50,12 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, wi
 
     def run(batches):
         encoder = library_encoder(tokenizer_path, with_space)
-        tail = np.array([end_id], "<u4").tobytes()
         before = 0
         for batch in (b for whole in batches for b in text_slices(whole, limit=SLICE_BYTES)):
-            parts = [ids + tail for ids in encoder(batch.column("text").to_pylist())]
-            sizes = np.array([len(p) // 4 for p in parts], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(sizes)])
-            values = np.frombuffer(b"".join(parts), "<i4")
+            flat, offsets = with_end(*encoder.encode(batch.column("text")), end_id)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("part"), pa.array(before + offsets[:-1]), pa.array(sizes),
-                 list_column(values, offsets)],
+                [batch.column("doc_id"), batch.column("part"), pa.array(before + offsets[:-1]), pa.array(np.diff(offsets)),
+                 list_column(flat.view("<i4"), offsets)],
                 ["doc_id", "part", "at", "n_tokens", "ids"])
             before += int(offsets[-1])
 
