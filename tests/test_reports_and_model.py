@@ -116,10 +116,10 @@ def test_balanced_sample(labeled):
 
 @pytest.mark.parametrize("kind", [model.LOGISTIC, model.ADDITIVE])
 def test_contributions_add_up_to_the_logit(labeled, kind):
-    fitted = model.fit_incident_model(labeled, kind, max_iter=15, bins=4)
+    fitted = model.fit_incident_model(labeled, kind, max_iter=15, bins=4, interactions=3, rounds=4)
     scored = model.score_incidents(fitted, labeled)
     explained = model.contributions(fitted, scored, k=100, least=0.0)
-    intercept = fitted.pipeline.stages[-1].intercept
+    intercept = fitted.intercept
     for row in explained.limit(40).collect():
         logit = math.log(row.ml_suspicion_proba / (1 - row.ml_suspicion_proba))
         assert intercept + sum(c.contribution for c in row.contributions) == pytest.approx(logit, abs=1e-3)
@@ -131,6 +131,20 @@ def test_contributions_add_up_to_the_logit(labeled, kind):
     assert len(top) == 6 and top[0].coefficient >= top[1].coefficient
 
 
+@pytest.mark.parametrize("kind", [model.LOGISTIC, model.ADDITIVE])
+def test_saved_models_score_alike_and_unseen_values_count_nothing(spark, labeled, tmp_path, kind):
+    fitted = model.fit_incident_model(labeled, kind, max_iter=10, bins=4, interactions=2, rounds=3)
+    model.save_model(fitted, spark, str(tmp_path / kind))
+    again = model.load_model(spark, str(tmp_path / kind))
+    scores = [{r.incident_id: r.ml_suspicion_proba for r in model.score_incidents(m, labeled).collect()} for m in (fitted, again)]
+    assert scores[0] == scores[1]
+    strange = labeled.limit(5).withColumn("top_event_name", F.lit("never met before"))
+    for m in (fitted, again):
+        for r in model.contributions(m, strange, k=100, least=0.0).collect():
+            own = [c for c in r.contributions if c.column_name == "top_event_name"]
+            assert [c.contribution for c in own] == [0.0] and own[0].raw_value == "never met before"
+
+
 def test_single_class_gives_a_constant(labeled):
     fitted = model.fit_incident_model(labeled.where("weak_label_suspicious = 1"))
     row = model.score_incidents(fitted, labeled).agg(F.min("ml_suspicion_proba"), F.max("ml_suspicion_pred")).first()

@@ -66,10 +66,10 @@ def policy_snapshot(policies: DataFrame, version: str | None = None) -> DataFram
 
 # --- write rules: each returns the next snapshot --------------------------------------
 def upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Insert or replace by key; among incoming rows the highest ``order`` wins."""
+    """Insert or replace by key; among incoming rows the highest ``order`` (of any type that sorts) wins."""
     columns = current.columns
-    old = current.withColumns({"_new": F.lit(0), "_order": F.lit(None).cast("long")})
-    new = incoming.select(*columns, F.lit(1).alias("_new"), F.col(order).cast("long").alias("_order"))
+    old = current.withColumns({"_new": F.lit(0), "_order": F.lit(None).cast(incoming.select(order).schema[0].dataType)})
+    new = incoming.select(*columns, F.lit(1).alias("_new"), F.col(order).alias("_order"))
     return latest(old.unionByName(new), keys, ["_new", "_order"]).select(*columns)
 
 
@@ -216,8 +216,9 @@ def alert_candidates(triaged: DataFrame, recipients: Sequence[str], product: str
     ).withColumn("dedupe_key", F.concat_ws(":", "incident_id", F.lit("high_priority_email"), "recipient"))
 
 
-def pending_alerts(candidates: DataFrame, sent: DataFrame) -> DataFrame:
-    return insert_if_absent(sent, candidates, "dedupe_key").withColumn("status", F.lit("sent"))
+def pending_alerts(candidates: DataFrame, sent: DataFrame, status: str = "pending") -> DataFrame:
+    """Alerts not yet known by their key; whoever sends them passes or sets another status."""
+    return insert_if_absent(sent, candidates, "dedupe_key").withColumn("status", F.lit(status))
 
 
 def notification_events(alerts: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
 """The batch pipeline as Parquet-backed stages shared by later queries.
 
-Each stage is written once per application and input folder: events feed the
+Each stage is written once per application and state of the input folder (the names,
+sizes and times of its files), so changed data are read again: events feed the
 incident build, labeled incidents feed triage, stored triage results feed
 reviews, decisions, alerts and views.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from typing import Any
 
@@ -19,13 +21,25 @@ from ..operators.labels import apply_weak_labels
 from ..session import materialize
 from ..sources.tables import audit_events
 
-_written: dict[tuple[str, str, str], Any] = {}
+_written: dict[tuple[str, str, str, str], Any] = {}
 
 CASE_GAP_MINUTES = 12 * 60
 
 
+def folder_state(spark: SparkSession, folder: str) -> str:
+    """Names, sizes and times of the files of a folder, whatever file system holds it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()
+
+
 def remember(spark: SparkSession, folder: str, name: str, build: Callable[[], Any]) -> Any:
-    key = (spark.sparkContext.applicationId, folder, name)
+    key = (spark.sparkContext.applicationId, folder, folder_state(spark, folder), name)
     if key not in _written:
         _written[key] = build()
     return _written[key]

@@ -56,18 +56,20 @@ EVENTS_PER_FILE = 50
 
 
 def log_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Log file texts: fifty records and one stray entry each; every tenth file is broken."""
+    """Log file texts: fifty records and one stray entry each; beside every tenth file lies a broken copy."""
     events = read_table(spark, folder, "events")
     number = F.floor(F.col("event_id") / EVENTS_PER_FILE)
     entries = events.groupBy(number.alias("file_no")).agg(
         F.array_sort(F.collect_list(F.struct("event_id", _record_json().alias("json")))).alias("entries"))
     body = F.concat(F.lit('{"Records":["stray",'), F.array_join(F.transform("entries", lambda e: e["json"]), ","), F.lit("]}"))
-    text = F.when(F.col("file_no") % 30 == 9, F.lit('{"notRecords":[]}')).when(
-        F.col("file_no") % 30 == 19, F.substring(body, 1, 100)).when(
-        F.col("file_no") % 30 == 29, F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
-    name = F.concat(F.lit("log-"), F.col("file_no").cast("string"), F.lit(".json"))
-    return entries.select(
-        F.concat(F.lit("derived/"), name).alias("source"), name.alias("file_name"), text.alias("text"),
+    broken = F.when(F.col("file_no") % 30 == 9, F.lit('{"notRecords":[]}')).when(
+        F.col("file_no") % 30 == 19, F.expr("left(text, length(text) - 1)")).when(
+        F.col("file_no") % 30 == 29, F.concat(F.lit("["), F.col("text"), F.lit("]")))
+    files = entries.select("file_no", body.alias("text")).select("file_no", F.inline(F.array(
+        F.struct(F.lit(".json").alias("suffix"), F.col("text").alias("text")), F.struct(F.lit("-broken.json").alias("suffix"), broken.alias("text")))))
+    name = F.concat(F.lit("log-"), F.col("file_no").cast("string"), "suffix")
+    return files.where("text IS NOT NULL").select(
+        F.concat(F.lit("derived/"), name).alias("source"), name.alias("file_name"), "text",
         F.lit(None).cast("string").alias("reason"), F.lit(True).alias("counts_as_file"))
 
 
@@ -77,8 +79,7 @@ def _log_entries(spark: SparkSession, folder: str) -> DataFrame:
 
 RAW = f"""
 src AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_id // {EVENTS_PER_FILE} AS file_no,
-    row_number() OVER (PARTITION BY event_id // {EVENTS_PER_FILE} ORDER BY event_id) AS pos FROM events),
-good AS (SELECT * FROM src WHERE file_no % 30 NOT IN (9, 19, 29))""".strip()
+    row_number() OVER (PARTITION BY event_id // {EVENTS_PER_FILE} ORDER BY event_id) AS pos FROM events)""".strip()
 
 
 @query(f"WITH {RAW}" + """ SELECT 'e' || event_id AS event_id, pos AS record_index_in_file,
@@ -91,7 +92,7 @@ good AS (SELECT * FROM src WHERE file_no % 30 NOT IN (9, 19, 29))""".strip()
   CASE WHEN k % 5 >= 3 THEN 'ua' END AS user_agent, CAST(NULL AS VARCHAR) AS error_code,
   k % 3 <> 1 AS success, k % 3 = 1 AS is_error,
   CASE WHEN k % 2 = 0 THEN '{"a":{"c":[1,2],"d":"x"},"b":1,"k":' || k || '}' END AS request_parameters_json
-FROM good""")
+FROM src""")
 def normalized_log_records(spark: SparkSession, folder: str) -> DataFrame:
     flat = normalize.normalize_records(logs.records(_log_entries(spark, folder)))
     return flat.select(
@@ -104,7 +105,7 @@ def normalized_log_records(spark: SparkSession, folder: str) -> DataFrame:
   CAST(CASE WHEN k % 7 = 2 THEN 0 WHEN k % 7 >= 4 THEN 4 END AS BIGINT) AS resource_count,
   CASE WHEN k % 7 >= 4 THEN 'A|B' END AS resource_types_concat,
   CASE WHEN k % 7 >= 4 THEN 'y|z' END AS resource_arns_concat,
-  CASE WHEN k % 7 >= 4 THEN '9' END AS resource_account_ids_concat FROM good""")
+  CASE WHEN k % 7 >= 4 THEN '9' END AS resource_account_ids_concat FROM src""")
 def log_resource_summary(spark: SparkSession, folder: str) -> DataFrame:
     flat = normalize.normalize_records(logs.records(_log_entries(spark, folder)))
     return flat.select("event_id", "resource_count", *normalize.RESOURCE_FIELDS)
@@ -118,7 +119,7 @@ def log_resource_summary(spark: SparkSession, folder: str) -> DataFrame:
     AS user_agent_presence_state,
   CASE WHEN k % 2 = 0 THEN 'present' ELSE 'absent' END AS request_parameters_presence_state,
   CASE k % 7 WHEN 0 THEN 'absent' WHEN 1 THEN 'null' WHEN 2 THEN 'empty' ELSE 'present' END
-    AS resources_presence_state FROM good)
+    AS resources_presence_state FROM src)
 SELECT *, user_agent_presence_state <> 'present' AS missing_user_agent,
   resources_presence_state <> 'present' AS missing_resources FROM st""")
 def log_presence_states(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,17 +129,18 @@ def log_presence_states(spark: SparkSession, folder: str) -> DataFrame:
         "missing_resources")
 
 
-@query(f"WITH {RAW}" + """ SELECT count(DISTINCT file_no) AS total_files_read,
-  count(*) FILTER (file_no % 30 NOT IN (9, 19, 29)) AS total_records_parsed,
-  count(DISTINCT file_no) FILTER (file_no % 30 IN (9, 19, 29)) AS total_malformed_files,
-  count(DISTINCT file_no) FILTER (file_no % 30 NOT IN (9, 19, 29)) AS total_malformed_records FROM src""")
+@query(f"WITH {RAW}" + """ SELECT
+  count(DISTINCT file_no) + count(DISTINCT file_no) FILTER (file_no % 10 = 9) AS total_files_read,
+  count(*) AS total_records_parsed, count(DISTINCT file_no) FILTER (file_no % 10 = 9) AS total_malformed_files,
+  count(DISTINCT file_no) AS total_malformed_records FROM src""")
 def log_ingest_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return logs.ingest_metrics(_log_entries(spark, folder))
 
 
 @query(f"WITH {RAW}" + """ SELECT reason, count(*) AS entries FROM (
-  SELECT file_no, CASE file_no % 30 WHEN 9 THEN 'ValueError' WHEN 19 THEN 'JSONDecodeError' WHEN 29 THEN 'ValueError'
-    ELSE 'NonObjectRecord' END AS reason FROM src GROUP BY file_no) GROUP BY reason""")
+  SELECT DISTINCT file_no, 'NonObjectRecord' AS reason FROM src
+  UNION ALL SELECT DISTINCT file_no, CASE file_no % 30 WHEN 19 THEN 'JSONDecodeError' ELSE 'ValueError' END FROM src WHERE file_no % 10 = 9)
+GROUP BY reason""")
 def log_malformed_reasons(spark: SparkSession, folder: str) -> DataFrame:
     errors = logs.ingest_errors(_log_entries(spark, folder))
     return errors.groupBy("reason").agg(F.count("*").alias("entries"))
