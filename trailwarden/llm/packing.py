@@ -1,8 +1,8 @@
 """Packing of token sequences: first-fit decreasing in randomised groups.
 
 Every document is cut at multiples of the sequence length; only its last piece
-is shorter.  Documents are dealt by a hash to groups of about ``group_docs``;
-within a group first-fit decreasing places each piece into the first open
+is shorter.  Pieces are dealt by a hash to groups of about ``group_docs`` documents,
+and of ``group_bytes`` of text if that makes more groups; within a group first-fit decreasing places each piece into the first open
 sequence with room.  A tournament tree over the free room of the sequences finds
 that one in logarithmic time.  What stays free is small once a group has some
 hundred pieces, so groups are independent, a group's memory is bounded by the
@@ -10,7 +10,8 @@ parameter, and the plan has one shuffle.  A sequence whose length is a power of
 two is not padded.
 
 Defined results: a null or empty text has the end id alone; a null ``doc_id`` is
-kept; repeated rows are packed each (numbered by ``copy``); an empty table gives
+kept; a text of any length is cut into pieces that go to different groups; pieces of
+equal length are placed in order of document, copy and start; repeated rows are packed each (numbered by ``copy``); an empty table gives
 no rows; other columns are left out.
 """
 
@@ -23,10 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import id_text, list_column, text_slices
 from .token_files import crc32_of_ids
-from .tokens import SLICE_BYTES, library_encoder
+from .tokens import SLICE_BYTES, library_encoder, with_end
 
 SEQUENCE = 2048
 GROUP_DOCS = 2048
+GROUP_BYTES = 8 << 20
 
 
 class RoomTree:
@@ -74,24 +76,18 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, sequence: int
 
     def run(batches):
         encoder = library_encoder(tokenizer_path, with_space)
-        tail = np.array([end_id], "<u4").tobytes()
         for batch in (b for whole in batches for b in text_slices(whole, limit=SLICE_BYTES)):
-            doc, copy, start, length, total, body = [], [], [], [], [], []
-            encoded = encoder(batch.column("text").to_pylist())
-            for doc_id, number, ids in zip(batch.column("doc_id").to_pylist(), batch.column("copy").to_pylist(), encoded):
-                ids += tail
-                n = len(ids) // 4
-                body.append(ids)
-                for at in range(0, n, sequence):
-                    doc.append(doc_id)
-                    copy.append(number)
-                    start.append(at)
-                    length.append(min(sequence, n - at))
-                    total.append(n)
-            offsets = np.concatenate([[0], np.cumsum(np.asarray(length, np.int64))])
-            columns = [pa.array(x, pa.int64()) for x in (doc, copy, start, length, total)]
-            columns.append(list_column(np.frombuffer(b"".join(body), "<i4"), offsets))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "copy", "start", "length", "doc_tokens", "ids"])
+            flat, offsets = with_end(*encoder.encode(batch.column("text")), end_id)
+            total = np.diff(offsets)
+            many = -(-total // sequence)
+            row = np.repeat(np.arange(len(total)), many)
+            start = (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)) * sequence
+            length = np.minimum(sequence, total[row] - start)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(at), batch.column("copy").take(at), pa.array(start), pa.array(length), pa.array(total[row]),
+                 list_column(flat.view("<i4"), np.concatenate([[0], np.cumsum(length)]))],
+                ["doc_id", "copy", "start", "length", "doc_tokens", "ids"])
 
     numbered = id_text(docs, id_col, text_col).withColumn("copy", F.monotonically_increasing_id())
     return numbered.mapInArrow(
@@ -108,16 +104,17 @@ def pack(piece_rows: DataFrame, groups: int, sequence: int = SEQUENCE, seed: int
         return group.drop_columns(["group"]).append_column("sequence_id", pa.array(first + bins)).append_column(
             "offset", pa.array(offsets))
 
-    dealt = piece_rows.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "copy"), F.lit(groups)))
+    dealt = piece_rows.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "copy", "start"), F.lit(groups)))
     return dealt.groupBy("group").applyInArrow(
         run, "doc_id long, copy long, start long, length long, doc_tokens long, ids array<int>, "
              "sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, sequence: int = SEQUENCE,
-                   group_docs: int = GROUP_DOCS, with_space: bool = False) -> DataFrame:
-    """Encode, cut and pack whole texts; the number of groups follows the number of documents."""
-    groups = max(1, -(-docs.count() // group_docs))
+                   group_docs: int = GROUP_DOCS, with_space: bool = False, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """Encode, cut and pack whole texts; the number of groups follows the number and the bytes of the documents."""
+    rows, size = id_text(docs).agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    groups = max(1, -(-rows // group_docs), -(-size // group_bytes))
     return pack(pieces(docs, tokenizer_path, end_id, sequence, with_space), groups, sequence)
 
 
