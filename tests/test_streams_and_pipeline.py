@@ -199,3 +199,28 @@ def test_contract(spark, sf_dir):
 @pytest.mark.parametrize("name", ["event_ranks", "recommended_actions", "knowledge_search", "label_rate_by_score"])
 def test_queries_run_on_small_data(spark, sf_dir, name):
     assert contract.queries()[name](spark, sf_dir).count() > 0
+
+
+def test_duplicate_drop_keeps_the_timed_row(spark):
+    rows = spark.createDataFrame([("e", None, "a.json", 0), ("e", "2024-01-02 00:00:00", "b.json", 1), ("e", "2024-01-01 00:00:00", "c.json", 2)],
+                                 "event_id string, t string, source_file_name string, record_index_in_file long")
+    rows = rows.withColumn("event_time", F.to_timestamp("t"))
+    assert ingest.drop_duplicate_events(rows).first().source_file_name == "c.json"
+    assert ingest.drop_duplicate_events(rows.where("t IS NULL")).first().source_file_name == "a.json"
+
+
+def test_upsert_orders_by_the_type_given(spark):
+    from trailwarden.operators import casework
+    kept = spark.createDataFrame([("k", "old")], "key string, value string")
+    new = spark.createDataFrame([("k", "first", "2024-01-01 00:00:00.2"), ("k", "second", "2024-01-01 00:00:00.7")], "key string, value string, at string")
+    assert casework.upsert(kept, new, ["key"], "at").first().value == "second"
+    assert casework.upsert(kept, new.withColumn("at", F.to_timestamp("at")), ["key"], "at").first().value == "second"
+
+
+def test_stages_follow_the_files_of_a_folder(spark, tmp_path):
+    from trailwarden.plans import stages
+    read = lambda: stages.stage(spark, str(tmp_path), "count", lambda: spark.read.parquet(str(tmp_path / "t.parquet"))).count()
+    spark.range(3).write.parquet(str(tmp_path / "t.parquet"))
+    assert read() == 3
+    spark.range(5).write.mode("append").parquet(str(tmp_path / "t.parquet"))
+    assert read() == 8

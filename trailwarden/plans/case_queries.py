@@ -618,7 +618,7 @@ def pending_alerts(spark: SparkSession, folder: str) -> DataFrame:
     number = F.substring("incident_id", 10, 9).cast("long")
     sent = stages.incidents(spark, folder).where(number % 2 == 0).select(
         F.concat_ws(":", "incident_id", F.lit("high_priority_email"), F.lit(RECIPIENTS[0])).alias("dedupe_key"))
-    alerts = casework.pending_alerts(casework.alert_candidates(triaged(spark, folder), RECIPIENTS), sent)
+    alerts = casework.pending_alerts(casework.alert_candidates(triaged(spark, folder), RECIPIENTS), sent, status="sent")
     return alerts.select("incident_id", "recipient", "dedupe_key", "status", "recommended_action_id", F.md5("body").alias("body_md5"))
 
 

@@ -49,8 +49,8 @@ def drop_duplicate_events(events: DataFrame, watermark: str = "1 hour") -> DataF
     if marked.isStreaming:
         marked = marked.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["_identity"])
     else:
-        order = [F.col("event_time").isNull().alias("untimed")]  # nulls last, as in canonical order
-        order += [F.col(c) for c in ("event_time", "source_file_name", "record_index_in_file") if c in events.columns]
+        order = [x for c in ("event_time", "source_file_name", "record_index_in_file") if c in events.columns
+                 for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))]  # nulls last, as in canonical order
         rows = marked.groupBy("_identity").agg(F.min_by(F.struct(*events.columns), F.struct(*order)).alias("_first"))
         return rows.select("_first.*")
     return marked.drop("_identity")
