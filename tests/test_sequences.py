@@ -160,3 +160,32 @@ def test_interleaved_actors(spark):
 
 def test_empty_input(spark):
     assert incidents.build_incidents(features.derive_event_features(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+@pytest.mark.parametrize("step", [0, 1, 40, 400])
+def test_prior_counts_of_one_key_over_many_parts(spark, step):
+    """Equal times, dense times and sparse times of a key that fills most parts; few events look into earlier parts."""
+    rows = [(i, 1_700_000_000 + (i * step if i % 9 else None or 0), "hot" if i % 5 else f"k{i % 3}") for i in range(600)]
+    rows = sorted(rows, key=lambda r: r[1])
+    frame = spark.createDataFrame([(n, t, k) for n, (_, t, k) in enumerate(rows)], f"{features.INDEX} long, t long, k string")
+    frame = frame.select(features.INDEX, F.timestamp_seconds("t").alias("event_time"), "k").repartition(6)
+    got = features.prior_activity(frame, {"key": ("k", "NONE")}, {"5m": 300, "1h": 3600}).collect()
+    counts = {r[features.INDEX]: (r["key_prev_5m"], r["key_prev_1h"]) for r in got}
+    assert len(counts) == 600
+    for n, (_, t, k) in enumerate(rows):
+        before = [u for _, u, other in rows[:n] if other == k]
+        assert counts[n] == (sum(u >= t - 300 for u in before), sum(u >= t - 3600 for u in before)), n
+
+
+def test_prior_counts_move_one_row_per_key(spark):
+    from trailwarden.operators import ordering
+    written = []
+    frame = spark.range(3000).select(F.col("id").alias(features.INDEX), F.timestamp_seconds(F.col("id") * 60).alias("event_time"), F.lit("k").alias("k"))
+    kept = ordering.materialize
+    try:
+        ordering.materialize = lambda df, label: (written.append((label, out := kept(df, label))), out)[1]
+        features.prior_activity(frame, {"key": ("k", "NONE")}, {"5m": 300, "1h": 3600}).count()
+    finally:
+        ordering.materialize = kept
+    sizes = {label: out.count() for label, out in written}
+    assert sizes["prior-events"] == 3000 and sizes["prior-edges"] < 1500  # three marks an event before

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
@@ -150,44 +150,69 @@ def prior_activity(
 ) -> DataFrame:
     """Events of the same key before this one, not older than each window.
 
-    Every event is placed once per key at its own time and once per window at
-    the window's left edge, edges before events of the same time.  In the
-    (key, time) order a running count of events, read at the event and at its
-    edge, differs by exactly the wanted number; the key's own start cancels
-    out, so nothing but part offsets has to be carried and no key, hour or
-    timestamp ever has to fit into one task.
+    Every event is placed once per key in the (key, time) order and counts its
+    predecessors within its sort part by range frames.  Only events of a key that goes
+    on from an earlier part and that lie nearer than a window to the start of their
+    part look further back: their left edges find the part they fall into and are
+    ranked there, so the difference of two ranks is their count.  No key, hour or
+    timestamp has to fit into one task; if all times are equal, all events take the
+    second way, which is linear, too.
     """
     micros = F.unix_micros("event_time")
-    event_mark = len(windows)
-    marks = []
-    for name, (column, missing) in prior_keys.items():
-        key = F.coalesce(F.col(column), F.lit(missing))
-        for mark, seconds in enumerate(windows.values()):
-            marks.append(_mark(name, key, micros - seconds * 1_000_000, mark))
-        marks.append(_mark(name, key, micros, event_mark))
-    long = indexed.where(F.col("event_time").isNotNull()).select(INDEX, F.inline(F.array(*marks)))
-    placed = o.positions(
-        long, [F.col("grouping"), F.col("key"), F.col("at"), F.col("mark"), F.col(INDEX)], "prior-marks"
-    )
-    is_event = (F.col("mark") == event_mark).cast("long")
-    totals = placed.groupBy(o.PART).agg(F.sum(is_event).alias("_n"))
-    before = totals.select(o.PART, o.earlier_sum("_n").alias("_before"))
-    counted = o.with_part_state(placed, before).select(
-        INDEX, "grouping", "mark",
-        (F.col("_before") + F.coalesce(F.sum(is_event).over(o.before()), F.lit(0))).alias("seen"),
-    )
-
-    def seen(name: str, mark: int) -> Column:
-        return F.max(F.when((F.col("grouping") == name) & (F.col("mark") == mark), F.col("seen")))
-
-    return counted.groupBy(INDEX).agg(*[
-        (seen(name, event_mark) - seen(name, mark)).alias(f"{name}_prev_{suffix}")
-        for name in prior_keys for mark, suffix in enumerate(windows)
-    ])
-
-
-def _mark(name: str, key: Column, at: Column, mark: int) -> Column:
-    return F.struct(F.lit(name).alias("grouping"), key.alias("key"), at.alias("at"), F.lit(mark).alias("mark"))
+    spans = [seconds * 1_000_000 for seconds in windows.values()]
+    keys = [F.struct(F.lit(name).alias("grouping"), F.coalesce(F.col(column), F.lit(missing)).alias("key"))
+            for name, (column, missing) in prior_keys.items()]
+    long = indexed.where(F.col("event_time").isNotNull()).select(INDEX, micros.alias("at"), F.inline(F.array(*keys)))
+    placed = o.positions(long, [F.col("grouping"), F.col("key"), F.col("at"), F.col(INDEX)], "prior-events")
+    ends = placed.groupBy(o.PART).agg(
+        F.count("*").alias("_n"), F.min_by(F.struct("grouping", "key", "at"), o.ROW).alias("_first"),
+        F.max_by(F.struct("grouping", "key"), o.ROW).alias("_last"))
+    goes_on = F.coalesce(o.from_previous_part("_last") == F.struct("_first.grouping", "_first.key"), F.lit(False))
+    parts = ends.select(o.PART, "_first", o.earlier_sum("_n").alias("_before"), goes_on.alias("_goes_on"))
+
+    def reaches_back(span: int) -> Column:
+        same = (F.col("grouping") == F.col("_first.grouping")) & (F.col("key") == F.col("_first.key"))
+        return F.col("_goes_on") & same & (F.col("at") - span <= F.col("_first.at"))
+
+    state = o.with_part_state(placed, parts)
+    by_time = Window.partitionBy(o.PART, "grouping", "key").orderBy("at")
+    first = F.min(o.ROW).over(by_time.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    inside = state.select(INDEX, "grouping", *[
+        F.when(~reaches_back(span), F.col(o.ROW) - first - F.count("*").over(
+            by_time.rangeBetween(Window.unboundedPreceding, -span - 1))).alias(f"c{i}")
+        for i, span in enumerate(spans)])
+    edges = _edge_counts(placed, parts, state, [(reaches_back(span), span) for span in spans])
+    both = inside.unionByName(edges.select(INDEX, "grouping", *[
+        F.when(F.col("mark") == i, F.col("n")).alias(f"c{i}") for i in range(len(spans))]))
+    return both.groupBy(INDEX).agg(*[
+        F.max(F.when(F.col("grouping") == name, F.col(f"c{i}"))).alias(f"{name}_prev_{suffix}")
+        for name in prior_keys for i, suffix in enumerate(windows)])
+
+
+def _edge_counts(placed: DataFrame, parts: DataFrame, state: DataFrame, windows: list[tuple[Column, int]]) -> DataFrame:
+    """``index, grouping, mark, n`` for the events whose windows begin in an earlier part."""
+    marks = F.filter(F.array(*[F.struct(
+        back.alias("back"), F.lit(i).alias("mark"), (F.col("at") - span).alias("edge")) for i, (back, span) in enumerate(windows)]),
+        lambda m: m["back"])
+    edges = state.select(INDEX, "grouping", "key", (F.col("_before") + F.col(o.ROW)).alias("rank"), F.inline(marks))
+    edges = edges.select(INDEX, "grouping", "key", F.col("edge").alias("at"), F.lit(0).alias("kind"), "mark", "rank",
+                         F.lit(None).cast("long").alias("target"))
+    # the part an edge falls into is the last one whose first event lies before it
+    bounds = parts.select(F.lit(None).cast("long").alias(INDEX), "_first.grouping", "_first.key", "_first.at", F.lit(1).alias("kind"),
+                          F.lit(None).cast("int").alias("mark"), F.lit(None).cast("long").alias("rank"), F.col(o.PART).alias("target"))
+    located = o.positions(edges.unionByName(bounds), [F.col(c) for c in ("grouping", "key", "at", "kind", INDEX, "mark")], "prior-edges")
+    carried = located.groupBy(o.PART).agg(F.max("target").alias("_t")).select(o.PART, o.earlier_max("_t").alias("_carried"))
+    target = F.greatest(F.max("target").over(o.running()), F.col("_carried"))
+    found = o.with_part_state(located, carried).withColumn("target", target).where(F.col("kind") == 0)
+    found = found.select(INDEX, "grouping", "key", "at", "kind", "mark", "rank", "target")
+    met = placed.join(found.select(F.col("target").alias(o.PART)).distinct(), o.PART, "left_semi").select(
+        INDEX, "grouping", "key", "at", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("mark"),
+        F.lit(None).cast("long").alias("rank"), F.col(o.PART).alias("target"))
+    in_target = Window.partitionBy("target").orderBy("grouping", "key", "at", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = found.unionByName(met).withColumn("seen", F.coalesce(F.sum("kind").over(in_target), F.lit(0))).where(F.col("kind") == 0)
+    earlier = parts.select(F.col(o.PART).alias("target"), "_before")
+    return ranked.join(F.broadcast(earlier), "target", "left").select(
+        INDEX, "grouping", "mark", (F.col("rank") - F.coalesce("_before", F.lit(0)) - F.col("seen")).alias("n"))
 
 
 def derive_event_features(events: DataFrame, rules: Mapping[str, Sequence[str]] = FLAG_RULES) -> DataFrame:
