@@ -3,10 +3,10 @@
 An inner product is ``(|q|^2 + |v|^2 - d^2) / 2``.  For vectors cut into segments of
 ``s`` components, segment means and deviations bound the distance from below:
 ``d^2 >= sum s * ((mean_q - mean_v)^2 + (dev_q - dev_v)^2)``, tighter with every halving of
-``s``.  A block of candidates is met by a block of queries: candidates whose bound,
-coarse to fine, cannot reach the query's current k-th score are put aside; exact
-scores are computed for the others only, best bounds first.  Nothing that could
-rank is left out, so the result is exact.
+``s``.  A block of candidates is met by a block of queries, each level's bounds being one
+matrix product: the best bounds are looked at exactly first, which sets the score to
+beat; pairs whose bound, coarse to fine, cannot reach it are put aside; exact scores are
+one product of what is left.  Nothing that could rank is left out, so the result is exact.
 
 Equal integer vectors are one candidate that carries its ``k + 1`` smallest ids (no
 query can list more of them: it takes at most k, besides itself), so a vector
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 BLOCK_VECTORS = 16384
 BLOCK_QUERIES = 4096
-SEGMENTS = (1, 4, 16)
+SEGMENTS = (1, 8, 32)
+AT_ONCE = 256
 EXACT_FLOAT = 2.0 ** 52
 
 
@@ -68,46 +69,51 @@ def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in full], np.int64)
 
 
-def block_topk(vectors: np.ndarray, ids: list[np.ndarray], queries: np.ndarray, query_ids: np.ndarray, k: int):
-    """Rows (query_id, vec_id, score) that hold each query's k best of this block."""
+def exact_products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    top = np.abs(vectors).max(initial=0) * np.abs(queries).max(initial=0) * vectors.shape[1]
+    if top < EXACT_FLOAT:
+        return (queries @ vectors.T).astype(np.int64)
+    return np.stack([exact_scores(vectors, q) for q in queries])
+
+
+def block_topk(vectors: np.ndarray, ids: list[np.ndarray], queries: np.ndarray, query_ids: np.ndarray, k: int,
+               survivors: list | None = None):
+    """Rows (query_id, vec_id, score) that hold each query's k best of this block; ``survivors`` gets the pairs left per level."""
     norm, qnorm = (vectors ** 2).sum(axis=1), (queries ** 2).sum(axis=1)
     slack = 1e-9 * (norm.max(initial=0) + qnorm.max(initial=0)) + 1e-6
     levels = [(segment_statistics(vectors, p), segment_statistics(queries, p)) for p in SEGMENTS]
-    squares = [((a ** 2).sum(axis=1), (b ** 2).sum(axis=1)) for a, b in levels]
     # bound on the score: (|q|^2 + |v|^2 - lower bound of d^2) / 2, with d^2 expanded to one product
-    rests = [(norm - s) / 2 for s, _ in squares]
-    q_rests = [(qnorm - s) / 2 for _, s in squares]
+    rests = [((norm - (a ** 2).sum(axis=1)) / 2, (qnorm - (b ** 2).sum(axis=1)) / 2 + slack) for a, b in levels]
     out_q, out_v, out_s = [], [], []
-    for i in range(len(queries)):
-        bound = levels[0][0] @ levels[0][1][i] + rests[0] + q_rests[0][i] + slack
-        alive = np.arange(len(vectors))
-        floor = -np.inf
-        got_v: list[int] = []
-        got_s: list[int] = []
-        for level in range(len(SEGMENTS)):
-            if level:
-                a, b = levels[level]
-                finer = a[alive] @ b[i] + rests[level][alive] + q_rests[level][i] + slack
-                bound = np.minimum(bound, finer)
-            if len(alive) > 4 * k:  # a first exact look at the best bounds sets the score to beat
-                first = alive[np.argpartition(-bound, 2 * k)[:2 * k]]
-                scores = exact_scores(vectors[first], queries[i])
-                floor = max(floor, float(np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]))
-                keep = bound >= floor
-                alive, bound = alive[keep], bound[keep]
-        scores = exact_scores(vectors[alive], queries[i])
-        if len(scores) > k + 1:
-            least = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
-            alive, scores = alive[scores >= least], scores[scores >= least]
-        for j, s in zip(alive.tolist(), scores.tolist()):
-            for vec in ids[j].tolist():
-                if vec != query_ids[i]:
-                    got_v.append(vec)
-                    got_s.append(s)
-        order = sorted(range(len(got_v)), key=lambda o: (-got_s[o], got_v[o]))[:k]
-        out_q += [int(query_ids[i])] * len(order)
-        out_v += [got_v[o] for o in order]
-        out_s += [got_s[o] for o in order]
+    for at in range(0, len(queries), AT_ONCE):
+        some = slice(at, at + AT_ONCE)
+        asked = queries[some]
+        columns = np.arange(len(vectors))
+        floor = np.full(len(asked), -np.inf)
+        alive = np.ones((len(asked), len(vectors)), bool)
+        for (a, b), (rest, q_rest) in zip(levels, rests):
+            bound = b[some] @ a[columns].T + rest[columns] + q_rest[some][:, None]
+            if len(columns) > 4 * k and not np.isfinite(floor).any():
+                first = np.argpartition(-bound, 2 * k, axis=1)[:, :2 * k]
+                scores = np.stack([exact_scores(vectors[c], q) for c, q in zip(first, asked)])
+                # one of them may be the query itself
+                floor = np.partition(scores, scores.shape[1] - k - 1, axis=1)[:, scores.shape[1] - k - 1].astype(float)
+            alive &= bound >= floor[:, None]
+            keep = alive.any(axis=0)
+            columns, alive = columns[keep], alive[:, keep]
+            if survivors is not None:
+                survivors.append(int(alive.sum()))
+        scores = exact_products(asked, vectors[columns])
+        for i, row in enumerate(scores):
+            left = np.flatnonzero(alive[i])
+            if len(left) > k + 1:
+                least = np.partition(row[left], len(left) - k - 1)[len(left) - k - 1]
+                left = left[row[left] >= least]
+            query = int(query_ids[at + i])
+            got = sorted((-s, v) for c, s in zip(columns[left].tolist(), row[left].tolist()) for v in ids[c].tolist() if v != query)[:k]
+            out_q += [query] * len(got)
+            out_v += [v for _, v in got]
+            out_s += [-s for s, _ in got]
     return out_q, out_v, out_s
 
 
