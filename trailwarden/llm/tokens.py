@@ -29,7 +29,7 @@ UNIT = re.compile(f"{_WS}*+(?:{_WORD})|{_WS}+")
 # one word of letters that stay letters in lower case: a single word to the tokenizers
 _ONE_WORD = "[A-Za-zÀ-ÖØ-öø-ÿĀ-įı-ɏА-яぁ-ゖァ-ヺ一-龥]++"
 CACHE_PIECES = 1 << 19
-SLICE_BYTES = 1 << 22  # of text that is encoded at once
+SLICE_BYTES = 1 << 21  # of text that is encoded at once
 AT_ONCE = 2000
 # bytes that cannot begin white space: a blank before one of them is a token edge
 _PLAIN = np.ones(256, bool)
