@@ -74,6 +74,17 @@ def test_rejects_carry_reasons(spark):
     assert bad.first().input_errors == ["Invalid completeness_level.", "Invalid coverage check status."]
 
 
+def test_missing_fields_and_policies_are_rejected(spark):
+    rows = case(spark).unionByName(case(spark, incident_id="i2").withColumns({"title": F.lit(None).cast("string"), "summary": F.lit(None).cast("string")}))
+    results, rejected = triage.triage_or_reject(rows)
+    assert [r.incident_id for r in results.collect()] == ["i1"]
+    assert rejected.first().input_errors == ["incident missing required fields: title, summary"]
+    assert triage.policy_errors({}) == ["policy missing required fields: allowed_actions"]
+    assert triage.policy_errors({"allowed_actions": []}) == ["policy.allowed_actions must not be empty."]
+    results, rejected = triage.triage_or_reject(case(spark), {**triage.POLICY, "default_non_expert_safe_action": "other"})
+    assert results.count() == 0 and rejected.first().input_errors == ["default_non_expert_safe_action must be in allowed_actions."]
+
+
 def test_double_check_changes_the_decision(spark):
     first = case(spark, risk_score=0.5)
     late = spark.createDataFrame([("i1", 0.9, [], ["Resource creation after sensitive activity", "root"])],

@@ -73,22 +73,38 @@ def decision_inputs(labeled: DataFrame, risk_score: Column) -> DataFrame:
     return with_coverage(described)
 
 
-def input_errors() -> Column:
+def policy_errors(policy: Mapping[str, Any]) -> list[str]:
+    """What is wrong with a policy; it concerns every case alike."""
+    allowed, default = list(policy.get("allowed_actions") or []), policy.get("default_non_expert_safe_action")
+    if "allowed_actions" not in policy:
+        return ["policy missing required fields: allowed_actions"]
+    if not allowed:
+        return ["policy.allowed_actions must not be empty."]
+    return ["default_non_expert_safe_action must be in allowed_actions."] if default and default not in allowed else []
+
+
+def _missing(part: str, *columns: str) -> Column:
+    names = F.concat_ws(", ", *[F.when(F.col(c).isNull(), c) for c in columns])
+    return F.when(names != "", F.concat(F.lit(f"{part} missing required fields: "), names))
+
+
+def input_errors(policy: Mapping[str, Any] = POLICY) -> Column:
     """Why a case cannot be triaged; an empty array means it can."""
     bad_status = F.exists("checks", lambda c: ~F.coalesce(c["status"].isin(CHECK_STATUSES), F.lit(False)))
+    level = F.col("completeness_level")
     return _texts(
-        F.when(F.col("incident_id").isNull(), "incident missing required fields: incident_id"),
-        F.when(F.col("top_signals").isNull(), "detector_output missing required fields: top_signals"),
-        F.when(F.col("incompleteness_reasons").isNull(), "coverage missing required fields: incompleteness_reasons"),
-        F.when(F.col("checks").isNull(), "coverage missing required fields: checks"),
-        F.when(~F.coalesce(F.col("completeness_level").isin(LEVELS), F.lit(False)), "Invalid completeness_level."),
+        _missing("incident", "incident_id", "title", "summary"),
+        _missing("detector_output", "top_signals"),
+        _missing("coverage", "completeness_level", "incompleteness_reasons", "checks"),
+        F.when(~level.isin(LEVELS), "Invalid completeness_level."),
         F.when(F.coalesce(bad_status, F.lit(False)), "Invalid coverage check status."),
+        *[F.lit(e) for e in policy_errors(policy)],
     )
 
 
-def split_valid(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_valid(cases: DataFrame, policy: Mapping[str, Any] = POLICY) -> tuple[DataFrame, DataFrame]:
     """Cases that can be triaged, and the rejects with their reasons."""
-    checked = cases.withColumn("input_errors", input_errors())
+    checked = cases.withColumn("input_errors", input_errors(policy))
     valid = F.size("input_errors") == 0
     return checked.where(valid).drop("input_errors"), checked.where(~valid)
 
@@ -223,6 +239,12 @@ def triage(cases: DataFrame, policy: Mapping[str, Any] = POLICY, non_expert: boo
     }).withColumn("result_errors", result_errors(policy))
 
 
+def triage_or_reject(cases: DataFrame, policy: Mapping[str, Any] = POLICY, non_expert: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Triage results of the valid cases, and the other cases with their ``input_errors`` (all, if the policy is invalid)."""
+    valid, rejected = split_valid(cases, policy)
+    return triage(valid, POLICY if policy_errors(policy) else policy, non_expert), rejected
+
+
 # --- coverage review -----------------------------------------------------------------
 def _in_category(name: Column, words: list[str]) -> Column:
     plain = F.replace(F.lower(F.coalesce(name, F.lit(""))), F.lit("-"), F.lit("_"))

@@ -622,6 +622,52 @@ def pending_alerts(spark: SparkSession, folder: str) -> DataFrame:
     return alerts.select("incident_id", "recipient", "dedupe_key", "status", "recommended_action_id", F.md5("body").alias("body_md5"))
 
 
+def _damaged_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Decision inputs with fields missing or out of range in some of them."""
+    number = F.substring("incident_id", 10, 9).cast("long")
+    odd = F.transform("checks", lambda c: F.struct(
+        c["name"].alias("name"), F.when(number % 13 == 0, "odd").otherwise(c["status"]).alias("status"), c["detail"].alias("detail")))
+    return cases(spark, folder).withColumns({
+        "title": F.when(number % 7 != 0, F.col("title")), "summary": F.when(number % 21 != 0, F.col("summary")),
+        "top_signals": F.when(number % 5 != 0, F.col("top_signals")), "checks": odd,
+        "completeness_level": F.when(number % 11 == 0, "none").when(number % 17 != 0, F.col("completeness_level"))})
+
+
+_REJECTS = """rej AS (SELECT incident_id, concat_ws('|',
+    CASE WHEN n % 21 = 0 THEN 'incident missing required fields: title, summary'
+         WHEN n % 7 = 0 THEN 'incident missing required fields: title' END,
+    CASE WHEN n % 5 = 0 THEN 'detector_output missing required fields: top_signals' END,
+    CASE WHEN n % 17 = 0 AND n % 11 <> 0 THEN 'coverage missing required fields: completeness_level' END,
+    CASE WHEN n % 11 = 0 THEN 'Invalid completeness_level.' END,
+    CASE WHEN n % 13 = 0 THEN 'Invalid coverage check status.' END) AS reasons
+  FROM (SELECT incident_id, CAST(substr(incident_id, 10) AS BIGINT) AS n FROM lab))"""
+
+
+@query(f"WITH {LABELED}, {_REJECTS} SELECT incident_id, reasons FROM rej WHERE reasons <> ''")
+def rejected_cases(spark: SparkSession, folder: str) -> DataFrame:
+    _, rejected = triage.triage_or_reject(_damaged_cases(spark, folder))
+    return rejected.select("incident_id", piped(F.col("input_errors")).alias("reasons"))
+
+
+@query(f"WITH {CASES}, {_REJECTS} SELECT tri.incident_id, action_id FROM tri JOIN rej ON rej.incident_id = tri.incident_id WHERE rej.reasons = ''")
+def triaged_valid_cases(spark: SparkSession, folder: str) -> DataFrame:
+    results, _ = triage.triage_or_reject(_damaged_cases(spark, folder))
+    return results.select("incident_id", F.col("recommended_action.action_id").alias("action_id"))
+
+
+@query(f"""WITH {CASES} SELECT incident_id, concat_ws(' ', title, summary, replace(nullif(ordered_event_name_sequence, ''), '|', ' '),
+  replace(nullif(rules_fired, ''), '|', ' '), replace(nullif(patterns, ''), '|', ' ')) AS search_text FROM cases""")
+def case_context_queries(spark: SparkSession, folder: str) -> DataFrame:
+    return cases(spark, folder).select("incident_id", retrieval.context_query().alias("search_text"))
+
+
+@query(f"""WITH {CASES} SELECT incident_id, 'notification_email_sent' AS event_type, recipient,
+  '[Incident desk] High-priority incident detected: ' || incident_id AS subject, 'high_priority_incident' AS alert_type
+FROM tri CROSS JOIN (VALUES ('soc@example.com'), ('lead@example.com')) r(recipient) WHERE risk_band = 'high'""")
+def notification_events(spark: SparkSession, folder: str) -> DataFrame:
+    return casework.notification_events(casework.alert_candidates(triaged(spark, folder), RECIPIENTS))
+
+
 @query(f"WITH {CASES} SELECT count(*) AS candidates, count(*) AS processed, CAST(0 AS BIGINT) AS failed FROM tri WHERE risk_band = 'high'")
 def alert_scan_counts(spark: SparkSession, folder: str) -> DataFrame:
     return casework.alert_scan_counts(triaged(spark, folder).where("severity_hint = 'high'"))
