@@ -42,7 +42,6 @@ STEMS = (4, 5, 6)
 MIN_DOCS = 5
 MIN_ODDS = 2.0
 SUPPORT_DOCS, SUPPORT_WORDS = 2, 2  # documents of label 1 that make a word support its stems, and words that make a stem
-MAX_ENTRIES = 20_000
 
 # letters of other scripts that look like Latin ones
 _LOOK_ALIKE = dict(zip("аеорсухкмтвнігѕјԁһԛԝαβεικνορτυχωΑΒΕΙΚΝΟΡΤΥΧ", "aeopcyxkmtbhirsjdhqwabeiknoptuxwabeiknoptyx"))
@@ -200,11 +199,11 @@ def fit(training: DataFrame) -> Lexicon:
         F.col("odds") >= MIN_ODDS), "toxicity-terms")
     chosen = found.where((F.col("ones") >= MIN_DOCS) & (F.col("odds") / spread >= 3.0)).join(_supported(found), "term", "left").where(
         F.col("term").endswith(" ") | F.col("support").isNotNull())
-    top = chosen.orderBy(F.col("odds").desc(), "term").limit(MAX_ENTRIES).select("term", "odds", "support").collect()
+    top = chosen.orderBy(F.col("odds").desc(), "term").select("term", "odds", "support").collect()
     lexicon = Lexicon(_entries({r["term"]: float(r["odds"]) for r in top}, {r["term"]: r["support"] for r in top}))
     if lexicon.weights:
         pairs = _exceptions(rows, lexicon).where((F.col("zeros") >= MIN_DOCS) & (F.col("ones") == 0)).orderBy(
-            F.col("zeros").desc(), "term").limit(MAX_ENTRIES).collect()
+            F.col("zeros").desc(), "term").collect()
         back = {r["term"]: -sum(lexicon.weights.get(lexicon.entry(w), 0.0) for w in r["term"].split()) for r in pairs}
         lexicon = Lexicon(lexicon.weights | back)
     lexicon.curve = _curve(rows, lexicon)
