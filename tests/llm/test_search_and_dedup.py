@@ -328,3 +328,18 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
             if name == "near_duplicates" and docs.count():
                 assert sorted(((r["doc_id"] or -1), r["text"] or "") for r in docs.collect()) == [
                     (-1, ""), (-1, "some words are here today"), (1, ""), (2, ""), (3, "same text of five words")]
+
+
+def test_long_words_do_not_collide():
+    """The Thue-Morse word and its complement have equal sums for every odd base modulo 2^64."""
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    for n in (1, 2, 64, 1024, 4096):
+        text = f"\t{word[:n]} {other[:n]}  {word[:n].upper()} x".encode()
+        h, at = jaccard.word_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert h[0] == h[2] and len(set(h.tolist())) == 3 and at.tolist() == [0, 4]
+    one, two = ("left right up " + w + " down" for w in (word[:2048], other[:2048]))
+    bodies = [np.frombuffer(t.encode(), np.uint8) for t in (one, two)]
+    assert jaccard.shingle_sets(bodies[0], np.array([0, len(bodies[0])]))[0] != jaccard.shingle_sets(bodies[1], np.array([0, len(bodies[1])]))[0]

@@ -47,8 +47,6 @@ BLOCK_DOCS = 4096
 CHUNK_SHINGLES = 2_000_000
 PART_BYTES = 128 << 20
 
-_B = np.uint64(0x9E3779B97F4A7C15)
-_B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _K = np.uint64(0xD6E8FEB86659FD93)
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
@@ -71,14 +69,13 @@ def word_hashes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     start[1:] &= ~solid[:-1] | edge[1:n]
     stop[:-1] &= ~solid[1:] | edge[1:n]
     starts, stops = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    powers = np.full(n, _B, np.uint64)
-    powers[0] = 1
-    powers = np.cumprod(powers)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LOWER[body] * powers)])
-    back = np.full(n, _B_INVERSE, np.uint64)
-    back[0] = 1
-    back = np.cumprod(back)
-    h = (sums[stops] - sums[starts]) * back[starts]
+    # an own factor for every place in a word: with powers of one base long words could be made to collide
+    begins = np.append(starts if len(starts) and starts[0] == 0 else np.append(0, starts), n)
+    place = np.arange(n, dtype=np.int64) - np.repeat(begins[:-1], np.diff(begins))
+    factors = mix(np.arange(int(place.max()) + 1, dtype=np.uint64) + _K)
+    values = _LOWER[body] * factors[place]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])
+    h = sums[stops] - sums[starts]
     h = mix(h ^ mix((stops - starts).astype(np.uint64)))
     return h, np.searchsorted(starts, offsets)
 
