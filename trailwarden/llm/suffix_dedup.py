@@ -13,10 +13,13 @@ So that blocks may be small and still miss nothing, strings meet by content.  Th
 key of a string is the least hash of the ``ANCHOR``-byte strings inside it, so equal
 strings have equal keys wherever they are.  Neighbouring strings mostly share a
 key; a run of them is kept as one context (their bytes).  Keys met once in the
-corpus are dropped (their strings cannot repeat); the contexts of the others are
-shuffled by key, equal contexts are merged, and each block of whole keys gets its
-transform.  A key met more often than ``hot`` is replaced by a hash of each whole
-string, which spreads what would meet in one task.
+corpus are dropped (their strings cannot repeat).  Equal contexts of a key become one
+row by a combining aggregate, whoever owns them; the different contexts of a key are
+shuffled by key, and each block of whole keys gets its transform.  What is found is
+one list of ranges per different context, joined back to the owners, so rows grow with
+the runs however large a group of copies is.  A key with more than ``hot`` *different*
+contexts would not fit a block: the strings of its contexts are told apart by their
+hashes, counted by a combining aggregate.
 
 Equal whole texts are one text with a count.  Texts are stored once, bucketed by
 their digest, so that three later joins do not move them again.
@@ -41,7 +44,7 @@ from .common import id_text, input_bytes, list_column, mix, shuffle_parts, slice
 
 LENGTH = 200
 ANCHOR = 64
-HOT = 20_000
+HOT = 4_096
 BLOCK_BYTES = 512 << 10
 PART_BYTES = 128 << 20
 
@@ -201,91 +204,78 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 
 
 def _contexts(picked: DataFrame, length: int) -> DataFrame:
-    """``route, context, owners, starts``: contexts of the picked runs, equal ones of a batch merged."""
+    """``text_id, at, key, digest, context``: the picked runs as bytes."""
 
     def run(batches):
         for batch in batches:
-            met: dict[tuple[int, bytes], list[tuple[bytes, int]]] = {}
             picks = batch.column("picks")
-            cuts = picks.offsets.to_pylist()
-            flat = picks.values
-            at, n, key, hot = (flat.field(f).to_pylist() for f in ("at", "n", "key", "hot"))
-            ids = batch.column("text_id").to_pylist()
-            for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
-                for j in range(cuts[i], cuts[i + 1]):
-                    s = at[j]
-                    if hot[j]:
-                        for p in range(s, s + n[j]):
-                            context = text[p:p + length]
-                            route = int.from_bytes(hashlib.blake2b(context, digest_size=8).digest(), "little", signed=True)
-                            met.setdefault((route, context), []).append((ids[i], p))
-                    else:
-                        met.setdefault((key[j], text[s:s + n[j] + length - 1]), []).append((ids[i], s))
-            if met:
-                owners = list(met.values())
-                cut = np.concatenate([[0], np.cumsum([len(o) for o in owners])])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([k for k, _ in met], pa.int64()), pa.array([c for _, c in met], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array([t for o in owners for t, _ in o], pa.binary())),
-                    list_column(np.array([s for o in owners for _, s in o], np.int32), cut)],
-                    ["route", "context", "owners", "starts"])
-
-    return picked.mapInArrow(run, "route long, context binary, owners array<binary>, starts array<int>")
-
-
-def _covered(contexts: DataFrame, length: int, block_bytes: int) -> DataFrame:
-    """``text_id, begin, end``: bytes covered by repeated strings; blocks hold whole routes."""
-
-    def solve(block: dict[bytes, list[tuple[bytes, int]]], out: tuple[list, list, list]) -> None:
-        contexts = list(block)
-        found = repeated_starts(contexts, length)
-        for context, starts in zip(contexts, found):
-            owners = block[context]
-            if len(owners) > 1:
-                runs = [(0, len(context))]
-            elif len(starts):
+            counts = np.diff(picks.offsets.to_numpy())
+            flat = picks.flatten()
+            at, n = (flat.field(f).to_pylist() for f in ("at", "n"))
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            row = np.repeat(np.arange(batch.num_rows), counts)
+            for a, b in slices(np.array(n, np.int64) + length - 1):
+                contexts = [texts[r][s:s + k + length - 1] for r, s, k in zip(row[a:b].tolist(), at[a:b], n[a:b])]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("text_id").take(pa.array(row[a:b])), pa.array(at[a:b], pa.int32()), flat.field("key").slice(a, b - a),
+                     pa.array([hashlib.blake2b(c, digest_size=16).digest() for c in contexts], pa.binary()), pa.array(contexts, pa.binary())],
+                    ["text_id", "at", "key", "digest", "context"])
+
+    return picked.mapInArrow(run, "text_id binary, at int, key long, digest binary, context binary")
+
+
+FOUND = "key long, digest binary, begins array<int>, ends array<int>"
+
+
+def _by_transform(classes: DataFrame, length: int, block_bytes: int) -> DataFrame:
+    """Repeated ranges of different contexts (``FOUND``); ``classes`` is sorted by key, blocks hold whole keys."""
+
+    def solve(block: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        out: list[tuple[int, bytes, list[int], list[int]]] = []
+        for (key, digest, _), starts in zip(block, repeated_starts([c for _, _, c in block], length)):
+            if len(starts):
                 breaks = np.flatnonzero(np.diff(starts) > length) + 1
                 firsts, lasts = starts[np.append(0, breaks)], starts[np.append(breaks - 1, len(starts) - 1)]
-                runs = list(zip(firsts.tolist(), (lasts + length).tolist()))
-            else:
-                continue
-            for owner, s in owners:
-                for a, b in runs:
-                    out[0].append(owner)
-                    out[1].append(s + a)
-                    out[2].append(s + b)
-
-    def rows_of(out):
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())],
-                                          ["text_id", "begin", "end"])
+                out.append((key, digest, firsts.tolist(), (lasts + length).tolist()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())))],
+            ["key", "digest", "begins", "ends"])
 
     def run(batches):
-        block: dict[bytes, list[tuple[bytes, int]]] = {}
+        block: list[tuple[int, bytes, bytes]] = []
         size, last = 0, None
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            owners, starts = batch.column("owners"), batch.column("starts")
-            cuts = owners.offsets.to_pylist()
-            who, where = owners.values.to_pylist(), starts.values.to_pylist()
-            for i, (route, context) in enumerate(zip(batch.column("route").to_pylist(), batch.column("context").to_pylist())):
-                if route != last and size > block_bytes:
-                    solve(block, out)
-                    block, size = {}, 0
-                last = route
-                held = block.get(context)
-                if held is None:
-                    held = block[context] = []
-                    size += len(context)
-                held += zip(who[cuts[i]:cuts[i + 1]], where[cuts[i]:cuts[i + 1]])
-            if out[0]:
-                yield rows_of(out)
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "digest", "context"))):
+                if row[0] != last and size > block_bytes:
+                    yield solve(block)
+                    block, size = [], 0
+                last = row[0]
+                block.append(row)
+                size += len(row[2])
         if block:
-            out = ([], [], [])
-            solve(block, out)
-            if out[0]:
-                yield rows_of(out)
+            yield solve(block)
+
+    return classes.select("key", "digest", "context").mapInArrow(run, FOUND)
+
+
+def _by_hashes(classes: DataFrame, length: int) -> DataFrame:
+    """The same for keys with very many different contexts: every string by its hash."""
+
+    def run(batches):
+        for batch in batches:
+            contexts = batch.column("context").to_pylist()
+            for a, b in slices(np.array([len(c) for c in contexts], np.int64), 1 << 16):
+                row = [i for i in range(a, b) for _ in range(len(contexts[i]) - length + 1)]
+                at = [p for i in range(a, b) for p in range(len(contexts[i]) - length + 1)]
+                strings = [hashlib.blake2b(contexts[i][p:p + length], digest_size=16).digest() for i, p in zip(row, at)]
+                rows = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(rows), batch.column("digest").take(rows), pa.array(strings, pa.binary()),
+                                                  pa.array(at, pa.int32())], ["key", "digest", "string", "p"])
 
-    return contexts.mapInArrow(run, "text_id binary, begin int, end int")
+    strings = classes.select("key", "digest", "context").mapInArrow(run, "key long, digest binary, string binary, p int")
+    again = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
+    met = strings.join(again, "string").groupBy("key", "digest").agg(F.collect_list("p").alias("begins"))  # at most the strings of one context
+    return met.select("key", "digest", "begins", F.transform("begins", lambda p: p + length).alias("ends"))
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT,
@@ -295,16 +285,25 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     met = runs.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     ends = F.expr("transform(starts, (s, i) -> named_struct('at', s, 'next', try_element_at(starts, i + 2), 'key', keys[i]))")
     rows = runs.select("text_id", F.explode(ends).alias("r")).select("text_id", "r.at", "r.next", "r.key")
-    left = rows.join(met, "key").select("text_id", F.struct("at", "next", "key", (F.col("n") > hot).alias("hot")).alias("pick"))
+    left = rows.join(met.select("key"), "key").select("text_id", F.struct("at", "next", "key").alias("pick"))
     picks = left.groupBy("text_id").agg(F.collect_list("pick").alias("picks"))  # at most the runs of one text
     total = F.octet_length("text") - (length - 1)
-    sized = F.transform("picks", lambda p: F.struct(
-        p["at"].alias("at"), (F.coalesce(p["next"], total) - p["at"]).alias("n"), p["key"].alias("key"), p["hot"].alias("hot")))
+    sized = F.transform("picks", lambda p: F.struct(p["at"].alias("at"), (F.coalesce(p["next"], total) - p["at"]).alias("n"), p["key"].alias("key")))
     picked = texts.join(picks, "text_id").select("text_id", "text", sized.alias("picks"))
+    owned = staged(_contexts(picked, length), "suffix-contexts")
+    classes = owned.groupBy("key", "digest").agg(F.count("*").alias("owners"), F.first("context").alias("context"))
+    different = owned.select("key", "digest").distinct().groupBy("key").agg(F.count("*").alias("different"))
+    classes = staged(classes.join(different, "key").where("owners > 1 OR different > 1"), "suffix-classes")
+    whole = classes.where("owners > 1").select(
+        "key", "digest", F.array(F.lit(0)).alias("begins"), F.array(F.octet_length("context")).alias("ends"))
     parts = max(shuffle_parts(texts.sparkSession), input_bytes(texts) // PART_BYTES)
-    routed = _contexts(picked, length).repartition(parts, "route").sortWithinPartitions("route")
-    covered = _covered(routed, length, block_bytes)
-    return covered.groupBy("text_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    together = classes.where((F.col("different") > 1) & (F.col("different") <= hot)).repartition(parts, "key").sortWithinPartitions("key")
+    single = classes.where("owners = 1").select("key", "digest")
+    partly = _by_transform(together, length, block_bytes).unionByName(_by_hashes(classes.where(F.col("different") > hot), length))
+    found = whole.unionByName(partly.join(single, ["key", "digest"], "left_semi"))
+    pairs = F.transform(F.arrays_zip("begins", "ends"), lambda r: F.struct((F.col("at") + r["begins"]).alias("begin"), (F.col("at") + r["ends"]).alias("end")))
+    spans = owned.select("text_id", "at", "key", "digest").join(found, ["key", "digest"]).select("text_id", pairs.alias("spans"))
+    return spans.groupBy("text_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def whole_characters(text: bytes, a: int, b: int) -> tuple[int, int]:
