@@ -200,3 +200,42 @@ def test_ids_of_odd_texts_equal_the_library(path, with_space):
     found = [ids for at in range(0, len(texts), 500) for ids in encoder(texts[at:at + 500])]
     expected = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
     assert found == [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in expected]
+
+
+def test_bpe_digests_match_the_library(spark, odd):
+    plain = Tokenizer.from_file(BYTE)
+    want = []
+    for doc_id, text in texts_of(odd):
+        ids = plain.encode(text, add_special_tokens=False).ids
+        sha = [hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), plain.decode(ids, skip_special_tokens=False))]
+        want.append((doc_id, len(ids), *sha))
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted((tuple(r) for r in bpe.digests(odd, BYTE).collect()), key=key) == sorted(want, key=key)
+
+
+def test_very_long_texts_and_words(spark, tmp_path):
+    texts = ["word, and " * 110_000, "x" * 1_000_000, "é" * 300_000 + " end", "\n" * 1_000_000]
+    docs = spark.createDataFrame([(i, t, "c", "p", 1) for i, t in enumerate(texts)], SCHEMA)
+    byte, word = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
+    token_files.write(docs, str(tmp_path / "long"), BYTE)
+    rows = {r["doc_id"]: r for r in token_files.crc32_of_ids(token_files.read(spark, str(tmp_path / "long"))).collect()}
+    packed = packing.pack_documents(docs, WORD).toPandas()
+    for i, text in enumerate(texts):
+        ids = byte.encode(text, add_special_tokens=False).ids + [0]
+        assert (rows[i]["n_tokens"], rows[i]["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        own = packed[packed["doc_id"] == i].sort_values("start")
+        assert np.concatenate(own["ids"].tolist()).tolist() == word.encode(text, add_special_tokens=False).ids + [1]
+        assert (own["start"].to_numpy() == np.arange(len(own)) * packing.SEQUENCE).all()
+    shorter = [t[:120_000] for t in texts]
+    encoded = bpe.encode(spark.createDataFrame(list(enumerate(shorter)), "doc_id long, text string"), BYTE).collect()
+    assert {r["doc_id"]: r["ids"] for r in encoded} == {i: byte.encode(t, add_special_tokens=False).ids for i, t in enumerate(shorter)}
+
+
+def test_known_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 50)
+    plain = Tokenizer.from_file(BYTE)
+    encoder = tokens.PieceEncoder(True, tokens.by_units(lambda u: plain.encode(u, add_special_tokens=False).ids, limit=20), ["<|endoftext|>"])
+    for seed in range(6):
+        texts = random_texts(60, seed)
+        assert encoder(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert len(encoder.known) == len(encoder.sizes) and encoder.sizes.sum() == len(encoder.flat)
