@@ -227,6 +227,35 @@ def test_global_choice_of_spans():
     assert pii.reconciled(text, [], []) == []
 
 
+def test_all_that_passes_lies_in_a_tagged_window():
+    rnd = random.Random(12)
+    parts = ["jo", "x", " at ", "\tat\n", " AT ", "[ at ]", "(  at  )", "（at）", " ａｔ ", "@", "＠", "mail", ".", " dot ", "[.]", "com", "١٢٣", "10", " ", "+1 ", "-", "4845", "é", "that "]
+    seen = 0
+    for _ in range(20):
+        text = "y" * rnd.randint(0, 60) + "".join(rnd.choice(parts) for _ in range(8)) + "z" * 100 + rnd.choice([" jo at ", " jo (  at  ) ", " jo（at）"]) + "mail.com"
+        starts = pii.window_starts(text)
+        for a in range(len(text)):
+            for b in range(a + 7, min(len(text), a + 48) + 1):
+                if any(pii.passes(k, text[a:b]) for k in range(4)):
+                    seen += 1
+                    assert any(s <= a and b <= s + 96 for s in starts), text[a:b]
+    assert seen >= 20
+
+
+def test_spans_of_48_characters_at_any_place_are_found():
+    class Marked:
+        """Tags runs of a and 1 as an e-mail."""
+        def decode(self, codes):
+            inside = np.isin(codes, pii.codes_of("a1"))
+            begins = inside & ~np.pad(inside, ((0, 0), (1, 0)))[:, :-1]
+            return np.where(begins, 1, np.where(inside, 2, 0)), np.ones(codes.shape)
+
+    for before in range(100):
+        for after in (0, 1, 60):
+            text = "-" * before + "a" * 47 + "1" + "-" * after
+            assert (0, before, before + 48) in [f[1:] for f in pii.tagged_spans(Marked(), [text])[0]], (before, after)
+
+
 @pytest.fixture(scope="module")
 def teacher(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 2 = 0")

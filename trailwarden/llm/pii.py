@@ -9,11 +9,13 @@ Spelled-out and differently separated forms of the same spans, and spans that ru
 number, join the training windows, so that the tagger learns the neighbours of the patterns.
 
 Every place that could hold a span is tagged: all windows of 96 characters, 48 apart, that hold a
-digit of any script, an at sign or a bracketed "at"; a span has one of these by definition and
-is at most 48 characters long, so it lies whole in one such window.  The Viterbi spans of all
-windows are brought to document positions, those cut by a window edge are left to the next
-window, spans that fail the check of their kind are dropped, and the best set without overlap
-is chosen over the whole document by weighted interval scheduling.  Base spans always stay;
+digit of any script, an at sign, or the word "at" in brackets or between white space.  No text
+without one of these passes the check of any kind (``passes``), and an added span is at most 48
+characters long, so it lies whole in one such window: tagging the other windows, too, gives the
+same spans.  The Viterbi spans of all windows are brought to document positions, those cut by a
+window edge are left to the next window, spans that fail the check of their kind are dropped,
+and the best set without overlap is chosen over the whole document by weighted interval
+scheduling.  Base spans always stay;
 added ones never overlap them.
 
 Defined results: a null or empty text has no spans; a null id is kept; repeated rows are each
@@ -150,6 +152,8 @@ for _c in range(0x3000):
     _CODES[_c] = 3 + ord(_x) - 32 if 32 <= ord(_x) < 127 else 98 if _x in "\n\r\t" else _LETTER if _x.isalpha() else _OTHER
 VOCABULARY = 99
 _TRIGGER = re.compile(r"[\d@＠]|[\[({<]\s?at\s?[\])}>]", re.I)
+# some match lies in every text that passes, also in other scripts' digits and in full-width signs
+_NEEDED = re.compile(r"[\d@＠]|[\[({<［（｛＜]\s*[aａ][tｔ]\s*[\])}>］）｝＞]|\s[aａ][tｔ](?=\s)", re.I)
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -167,9 +171,9 @@ def codes_of(text: str) -> np.ndarray:
 
 
 def window_starts(text: str) -> list[int]:
-    """Begins of all windows that could hold a span."""
+    """Begins of all windows that could hold a span; the others hold no text that passes a check."""
     found: dict[int, None] = {}
-    for m in _TRIGGER.finditer(text):
+    for m in _NEEDED.finditer(text):
         k = m.start() // STRIDE
         if k:
             found[k - 1] = None
@@ -460,16 +464,16 @@ def tagged_spans(tagger: Tagger, texts: list[str], batch: int = 512) -> list[lis
                 while end < length and row[end] == 2 + 2 * kind:
                     end += 1
                 a, b = start[i] + t, start[i] + end
-                if (t > 0 or a == 0) and (end < WINDOW or b == size):
+                # of the longest spans some only touch the edge of both their windows
+                if (t > 0 or a == 0) and (end < WINDOW or b == size or t == WINDOW - STRIDE):
                     out[owner[i]].append((float(margin[i, t:end].sum()), kind, a, b))
                 t = end
         owner.clear(), start.clear(), rows.clear()
 
     for n, text in enumerate(texts):
-        if not _TRIGGER.search(text):
-            continue
-        codes = codes_of(text)
-        for a in window_starts(text):
+        starts = window_starts(text)
+        codes = codes_of(text) if starts else None
+        for a in starts:
             owner.append(n), start.append(a), rows.append(codes[a:a + WINDOW])
             if len(rows) == batch:
                 flush()
