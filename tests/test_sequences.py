@@ -189,3 +189,15 @@ def test_prior_counts_move_one_row_per_key(spark):
         ordering.materialize = kept
     sizes = {label: out.count() for label, out in written}
     assert sizes["prior-events"] == 3000 and sizes["prior-edges"] < 1500  # three marks an event before
+
+
+def test_long_tables_are_staged_in_small_parts(spark):
+    from trailwarden import session
+
+    seen = []
+    with session.small_parts(spark):
+        seen += [spark.conf.get(key) for key in session.STAGED_PARTS]
+    assert seen == list(session.STAGED_PARTS.values())
+    assert all(spark.conf.get(key, None) != value for key, value in session.STAGED_PARTS.items())  # put back
+    rows = spark.range(1000).withColumn("k", F.col("id") % 7)
+    assert session.materialize(rows.groupBy("k").count(), "small", small=True).agg(F.sum("count")).first()[0] == 1000

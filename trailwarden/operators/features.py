@@ -102,7 +102,7 @@ def sequence_features(indexed: DataFrame) -> DataFrame:
         _keyed("ip", F.coalesce(F.col("source_ip_address"), F.lit("UNKNOWN_IP")), no_step),
         _keyed("session", F.col("session_key"), step),
     )))
-    placed = o.positions(long, [F.col("grouping"), F.col("key"), F.col(INDEX)], "key-ranks")
+    placed = o.positions(long, [F.col("grouping"), F.col("key"), F.col(INDEX)], "key-ranks", small=True)
     ends = placed.groupBy(o.PART).agg(
         F.count("*").alias("_n"), F.max_by(F.struct("grouping", "key", "step"), o.ROW).alias("_last"))
     # where each part's last key begins in that part
@@ -163,7 +163,7 @@ def prior_activity(
     keys = [F.struct(F.lit(name).alias("grouping"), F.coalesce(F.col(column), F.lit(missing)).alias("key"))
             for name, (column, missing) in prior_keys.items()]
     long = indexed.where(F.col("event_time").isNotNull()).select(INDEX, micros.alias("at"), F.inline(F.array(*keys)))
-    placed = o.positions(long, [F.col("grouping"), F.col("key"), F.col("at"), F.col(INDEX)], "prior-events")
+    placed = o.positions(long, [F.col("grouping"), F.col("key"), F.col("at"), F.col(INDEX)], "prior-events", small=True)
     ends = placed.groupBy(o.PART).agg(
         F.count("*").alias("_n"), F.min_by(F.struct("grouping", "key", "at"), o.ROW).alias("_first"),
         F.max_by(F.struct("grouping", "key"), o.ROW).alias("_last"))
@@ -200,7 +200,7 @@ def _edge_counts(placed: DataFrame, parts: DataFrame, state: DataFrame, windows:
     # the part an edge falls into is the last one whose first event lies before it
     bounds = parts.select(F.lit(None).cast("long").alias(INDEX), "_first.grouping", "_first.key", "_first.at", F.lit(1).alias("kind"),
                           F.lit(None).cast("int").alias("mark"), F.lit(None).cast("long").alias("rank"), F.col(o.PART).alias("target"))
-    located = o.positions(edges.unionByName(bounds), [F.col(c) for c in ("grouping", "key", "at", "kind", INDEX, "mark")], "prior-edges")
+    located = o.positions(edges.unionByName(bounds), [F.col(c) for c in ("grouping", "key", "at", "kind", INDEX, "mark")], "prior-edges", small=True)
     carried = located.groupBy(o.PART).agg(F.max("target").alias("_t")).select(o.PART, o.earlier_max("_t").alias("_carried"))
     target = F.greatest(F.max("target").over(o.running()), F.col("_carried"))
     found = o.with_part_state(located, carried).withColumn("target", target).where(F.col("kind") == 0)

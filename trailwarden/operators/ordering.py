@@ -35,13 +35,13 @@ def _parts() -> WindowSpec:
     return Window.orderBy(PART)
 
 
-def positions(df: DataFrame, order: list[Column], label: str) -> DataFrame:
+def positions(df: DataFrame, order: list[Column], label: str, small: bool = False) -> DataFrame:
     """Sort globally by ``order`` and give every row its part, row and position."""
     ordered = df.orderBy(*order).withColumn(POS, F.monotonically_increasing_id())
     ordered = ordered.withColumn(PART, F.shiftright(POS, _ROW_BITS)).withColumn(
         ROW, F.col(POS).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     )
-    return materialize(ordered, label)
+    return materialize(ordered, label, small)
 
 
 def earlier_sum(column: str) -> Column:
@@ -81,7 +81,7 @@ def with_part_state(df: DataFrame, parts: DataFrame) -> DataFrame:
 
 def global_index(df: DataFrame, order: list[Column], name: str, label: str) -> DataFrame:
     """Dense zero-based index under a total order."""
-    placed = positions(df, order, label)
+    placed = positions(df, order, label, small=True)
     offsets = placed.groupBy(PART).agg(F.count("*").alias("_n")).select(
         PART, earlier_sum("_n").alias("_before")
     )
