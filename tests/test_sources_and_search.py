@@ -1,6 +1,9 @@
 import json
 import math
+import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +108,44 @@ def test_search_matches_plain_cosine(spark, block_docs, stored):
     assert {h.query_id for h in hits} == {1, 2}
 
 
+def test_terms_are_dealt_once_and_repeated_ids_add_up(spark):
+    rnd = random.Random(4)
+    words = ["aa", "bb", "cc", "dd", "été"]
+    texts = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 9)))) for i in range(30)]
+    texts += [(3, "aa bb aa"), (3, "zz"), (None, "aa"), (None, "aa cc"), (99, None), (100, "x")]
+    bags = {}
+    for i, t in texts:
+        w = [x for x in (t or "").split() if len(x) > 1]
+        bags.setdefault(i, Counter()).update(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+    idf = {t: math.log((1 + len(texts)) / (1 + sum(t in b for b in bags.values()))) + 1 for b in bags.values() for t in b}
+    want = {}
+    for i, b in bags.items():
+        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in b.items()))
+        want |= {(i, t): n * idf[t] / norm for t, n in b.items()}
+    index = retrieval.tfidf_index(spark.createDataFrame(texts, "id long, body string"), "id", "body")
+    assert {(r["doc_id"], r["term"]): r["weight"] for r in index.postings.collect()} == pytest.approx(want)
+    vectors = {r["doc_id"]: r[1:] for r in retrieval.document_vectors(index).collect()}
+    assert vectors == {i: (len(b), pytest.approx(max(want[i, t] for t in b)), pytest.approx(sum(want[i, t] for t in b))) for i, b in bags.items() if b}
+    frequent = retrieval.tfidf_index(spark.createDataFrame(texts, "id long, body string"), "id", "body", max_terms=2)
+    assert frequent.vocabulary.count() == 2 and {r["term"] for r in frequent.postings.collect()} == {r["term"] for r in frequent.vocabulary.collect()}
+
+    index = retrieval.tfidf_index(spark.createDataFrame(DOCS, "id long, body string"), "id", "body")
+    plan = index.postings._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(term") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("tokens", [1, 3, 1000])
+def test_terms_of_slices_match_plain_counts(monkeypatch, tokens):
+    monkeypatch.setattr(retrieval, "SLICE_TOKENS", tokens)
+    lists = [["a1", "b1", "a1", "b1"], None, [], ["b1"], ["a1", "b1"], ["c1"] * 5]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9, None, 11, 12], pa.int64()), pa.array(lists, pa.list_(pa.string()))], ["doc_id", "tokens"])
+    got = Counter()
+    for out in retrieval._count_batches([batch.slice(1), batch.slice(0, 1)]):
+        for r in out.to_pylist():
+            got.update({(r["term"], d["doc_id"]): d["tf"] for d in [r, *(r["more"] or [])]})
+    assert got == Counter((t, i) for i, w in zip([7, 8, 9, None, 11, 12], lists) for t in (w or []) + [f"{a} {b}" for a, b in zip(w or [], (w or [])[1:])])
+
+
 def test_and_search_needs_every_keyword(spark):
     docs = spark.createDataFrame(DOCS, "id long, body string")
     queries = spark.createDataFrame([(1, ["root", "login"]), (2, ["login"]), (3, ["login", "absent"]), (4, [])], "q long, words array<string>")

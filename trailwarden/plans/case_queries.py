@@ -51,9 +51,8 @@ idx AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight F
   round(sum(weight), 4) AS total_weight FROM idx GROUP BY id""")
 def tfidf_document_vectors(spark: SparkSession, folder: str) -> DataFrame:
     index = retrieval.tfidf_index(read_table(spark, folder, "documents"), "doc_id", "text")
-    return index.postings.groupBy("doc_id").agg(
-        F.count("*").alias("terms"), F.round(F.max("weight"), 6).alias("top_weight"),
-        F.round(F.sum("weight"), 4).alias("total_weight"))
+    return retrieval.document_vectors(index).select(
+        "doc_id", "terms", F.round("top_weight", 6).alias("top_weight"), F.round("total_weight", 4).alias("total_weight"))
 
 
 @query("WITH " + TFIDF + r""", q_src AS (SELECT item_id AS id,
