@@ -218,13 +218,14 @@ def _edge_counts(placed: DataFrame, parts: DataFrame, state: DataFrame, windows:
 def derive_event_features(events: DataFrame, rules: Mapping[str, Sequence[str]] = FLAG_RULES) -> DataFrame:
     """The full event table: every input column plus all derived features.
 
-    The global sort runs on the input columns; row features are cheap enough to
-    be computed where they are read instead of travelling through the sort.
+    The global sort and the joins run on the input columns; row features are cheap
+    enough to be computed where they are read instead of travelling through either.
     """
-    indexed = with_row_features(with_row_index(events), rules)
+    placed = with_row_index(events)
+    indexed = with_row_features(placed, rules)
     counts = [f"{name}_prev_{suffix}" for name in PRIOR_KEYS for suffix in PRIOR_WINDOWS]
-    return (
-        indexed.join(sequence_features(indexed), INDEX, "left")
-        .join(prior_activity(indexed), INDEX, "left")
-        .fillna(0, subset=counts)
-    )
+    sequences, prior = sequence_features(indexed), prior_activity(indexed)
+    joined = placed.join(sequences, INDEX, "left").join(prior, INDEX, "left")
+    added = [c for c in [*sequences.columns, *prior.columns] if c != INDEX]
+    own = [c for c in indexed.columns if c != INDEX]
+    return with_row_features(joined, rules).select(INDEX, *own, *added).fillna(0, subset=counts)
