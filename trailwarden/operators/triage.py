@@ -6,6 +6,7 @@ scored and sorted inside the row, so triage adds no shuffle to the plan.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from typing import Any
 
@@ -248,34 +249,37 @@ def triage_or_reject(cases: DataFrame, policy: Mapping[str, Any] = POLICY, non_e
 # --- coverage review -----------------------------------------------------------------
 def _in_category(name: Column, words: list[str]) -> Column:
     plain = F.replace(F.lower(F.coalesce(name, F.lit(""))), F.lit("-"), F.lit("_"))
-    hit = plain.contains(words[0])
-    for word in words[1:]:
-        hit = hit | plain.contains(word)
-    return hit
+    return plain.rlike("|".join(re.escape(word) for word in words))
 
 
 def _category(words: list[str], category: str) -> Column:
-    checks = F.filter("checks", lambda c: _in_category(c["name"], words))
-    sources = F.filter(F.coalesce(F.col("missing_sources"), F.array().cast("array<string>")),
-                       lambda s: _in_category(s, words))
-    any_is = lambda status: F.exists(checks, lambda c: c["status"] == status)
-    has_sources = F.size(sources) > 0
-    status = (
-        F.when(any_is("checked_signal_found"), "checked_signal_found")
-        .when(any_is("checked_no_signal"), "checked_no_signal")
-        .when(any_is("not_checked"), "not_checked")
-        .when(any_is("data_unavailable") | has_sources, "data_unavailable")
-        .otherwise("unknown")
-    )
-    return F.when((F.size(checks) > 0) | has_sources, F.struct(
-        F.lit(category).alias("category"), status.alias("status"), checks.alias("checks"),
-        sources.alias("missing_sources")))
+    """The category as an array of one, or of null; what was found is bound once."""
+    found = F.array(F.struct(
+        F.filter("checks", lambda c: _in_category(c["name"], words)).alias("checks"),
+        F.filter(F.coalesce(F.col("missing_sources"), F.array().cast("array<string>")),
+                 lambda s: _in_category(s, words)).alias("sources")))
+
+    def described(f: Column) -> Column:
+        any_is = lambda status: F.exists(f["checks"], lambda c: c["status"] == status)
+        has_sources = F.size(f["sources"]) > 0
+        status = (
+            F.when(any_is("checked_signal_found"), "checked_signal_found")
+            .when(any_is("checked_no_signal"), "checked_no_signal")
+            .when(any_is("not_checked"), "not_checked")
+            .when(any_is("data_unavailable") | has_sources, "data_unavailable")
+            .otherwise("unknown")
+        )
+        return F.when((F.size(f["checks"]) > 0) | has_sources, F.struct(
+            F.lit(category).alias("category"), status.alias("status"), f["checks"].alias("checks"),
+            f["sources"].alias("missing_sources")))
+
+    return F.transform(found, described)
 
 
 def coverage_by_category() -> Column:
     """Status per category with at least one matching check or missing source."""
     rows = [_category(words, category) for category, words in COVERAGE_KEYWORDS.items()]
-    return F.filter(F.array(*rows), lambda r: r.isNotNull())
+    return F.filter(F.concat(*rows), lambda r: r.isNotNull())
 
 
 def decision_risk_note() -> Column:
